@@ -109,10 +109,14 @@ class Items:
         width = self.budget[item] + 1
         band = diagonal // width
         key = np.concatenate([item << 40 | band + (1 << 38), item << 40 | band - 1 + (1 << 38)])
-        key, hits = np.unique(key, return_counts=True)
-        item, band = key >> 40, (key & (1 << 40) - 1) - (1 << 38)
+        grams_at = np.tile(self.where[entry[some]], 2)
+        order = np.argsort(key, kind="stable")
+        key, starts, hits = np.unique(key[order], return_index=True, return_counts=True)
         out: dict[int, int] = {}
-        for i, b in zip(item[hits >= self.least[item]].tolist(), band[hits >= self.least[item]].tolist(), strict=True):
+        for j in np.flatnonzero(hits >= self.least[key >> 40]).tolist():
+            i, b = int(key[j] >> 40), int(key[j] & (1 << 40) - 1) - (1 << 38)
+            if len(np.unique(grams_at[order[starts[j] : starts[j] + hits[j]]])) < self.least[i]:
+                continue  # a repetitive document shares the same few q-grams again and again
             budget = int(self.budget[i])
             if out.get(i) == 0:
                 continue
@@ -128,6 +132,9 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
     Row i of the banded table holds cells (i, i + d) for the diagonals d of the band. The stretch may
     start and end anywhere.
     """
+    first = max(0, low)
+    text = text[first : max(first, high + len(item) + 1)]  # what the band can reach
+    low, high = low - first, high - first
     width = high - low + 1
     steps = np.arange(width)
     far = len(item) + len(text) + 1

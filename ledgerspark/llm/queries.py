@@ -6,21 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, token_orc
+from . import decontam, mixing, simhash, token_orc, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_report(table(spark, sf_dir, "documents"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_warc(table(spark, sf_dir, "pages"))
+    return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("skey")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_token_orc, op10_entropy_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op5_token_orc, op7_warc, op9_decontam, op10_entropy_mix)}
 
 #: Oracles in DuckDB SQL, for those queries that SQL can express.
 ORACLES: dict[str, str] = {}
