@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash, token_orc, warc
+from . import decontam, fertility, mixing, simhash, spans, token_orc, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rate(table(spark, sf_dir, "documents"))
+
+
+def op4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_report(table(spark, sf_dir, "documents"))
 
@@ -33,7 +41,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("skey")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op5_token_orc, op7_warc, op9_decontam, op10_entropy_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op3_fertility, op4_spans, op5_token_orc, op7_warc, op9_decontam, op10_entropy_mix)}
 
 #: Oracles in DuckDB SQL, for those queries that SQL can express.
 ORACLES: dict[str, str] = {}
