@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fertility, mixing, simhash, spans, token_orc, warc
+from . import decontam, fertility, mixing, quality, simhash, spans, token_orc, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("skey")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash, op3_fertility, op4_spans, op5_token_orc, op7_warc, op9_decontam, op10_entropy_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_fertility, op4_spans, op5_token_orc, op7_warc, op9_decontam, op10_entropy_mix)}
 
 #: Oracles in DuckDB SQL, for those queries that SQL can express.
 ORACLES: dict[str, str] = {}
