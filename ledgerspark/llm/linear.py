@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 
+def training_rows(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label) of the rows that may be learned from: not held out, with an id, labelled 0 or 1; one per id."""
+    able = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    return able.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """(doc_id, text, label) of at most `most` training rows for each of the labels 0 and 1.
 
@@ -16,10 +22,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     stored. Held-out rows, rows without doc_id and labels other than 0 and 1 are left out. The chosen
     ids are at most twice `most`, so they are broadcast and no text is shuffled.
     """
-    able = labels.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)")
+    able = training_rows(labels, label)
     rank = F.xxhash64("doc_id")
-    some = [able.where(F.col("label") == v).groupBy("doc_id").agg(F.first("label").alias("label")).orderBy(rank, "doc_id").limit(most) for v in (0, 1)]
-    ids = some[0].unionByName(some[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
+    some = [able.where(F.col("label") == v).orderBy(rank, "doc_id").limit(most) for v in (0, 1)]
+    ids = some[0].unionByName(some[1])
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
