@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fertility, mixing, quality, simhash, spans, token_orc, toxicity, warc
+from . import decontam, fertility, line_edit, mixing, quality, simhash, spans, token_orc, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_report(table(spark, sf_dir, "documents"))
 
 
+def op6_line_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_edit.near_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_warc(table(spark, sf_dir, "pages"))
     return warc.read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,7 +53,7 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("skey")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_fertility, op4_spans, op5_token_orc, op7_warc, op8_toxicity, op9_decontam, op10_entropy_mix)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_fertility, op4_spans, op5_token_orc, op6_line_edit, op7_warc, op8_toxicity, op9_decontam, op10_entropy_mix)}
 
 #: Oracles in DuckDB SQL, for those queries that SQL can express.
 ORACLES: dict[str, str] = {}
