@@ -204,7 +204,8 @@ def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     rows = found.join(known, "id", "left").select("doc_id", "line_no", F.col("id").alias("line_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     rows = materialize(rows, "line-rows")
-    first = rows.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first")
+    # a table of its own: the join then has an exchange on either side, and a hot line's rows can be split
+    first = materialize(rows.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first"), "line-first")
     rows = rows.join(first, "class_id", "left")
     return rows.select("doc_id", "line_no", "line_id", "class_id", "n_links", (F.col("first").isNull() | (place == F.col("first"))).alias("kept"))
 
