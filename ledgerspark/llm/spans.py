@@ -76,7 +76,8 @@ def dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
     source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     found = materialize(spans(source, min_sentences, min_words), "spans")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    first = found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n_found")).where("n_found > 1").drop("n_found")
+    # a table of its own: the join then has an exchange on either side, and a hot span's rows can be split
+    first = materialize(found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n_found")).where("n_found > 1").drop("n_found"), "spans-first")
     late = found.join(first, "key").where(order > F.col("first")).select("row", "doc_id", "start", "n")
     gone = late.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"))
     gone = gone.withColumnRenamed("doc_id", "_d")

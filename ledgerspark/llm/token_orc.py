@@ -7,12 +7,14 @@ stripe, and a Bloom filter on doc_id, so a reader skips stripes by metadata and
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from .common import shared_path
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: A worker forgets the words it has encoded when it holds so many, so its memory is bounded.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -34,55 +36,104 @@ ORC_OPTIONS = {
 
 
 class WordEncoder:
-    """Encodes texts as the tokenizers library does, word by word.
+    """Encodes texts as the tokenizers library does, each word and each part of a word once.
 
     word_bpe_49k never looks across white space: its normaliser works on characters, its splitter drops
-    white space, and its merges stay within a split. So a text's ids are those of its words in turn, and
-    words seen before need not be encoded again. New words of a text are encoded together, with a
-    separator that is encoded apart from its neighbours.
+    white space, and its merges stay within a part that the splitter cuts. So a text's ids are those of
+    its words in turn. Words of characters below U+0250 are lower-cased and cut here, and the library
+    encodes the parts it has not seen, many in one call; any other word goes through the library whole.
     """
 
-    SEPARATOR = "\x01"
+    # Fixed values of the vocabulary: its splitter's pattern and the end-of-word mark.
+    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+    END = "</w>"
+    #: A comma or full stop that white space follows and that belongs to a run of punctuation.
+    CLUSTER = re.compile(rb"[,.](?=[ \n])(?<![a-z0-9][,.])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][,.])(?<![\xc4-\xc9][\x80-\xbf][,.])").search
+    PLAIN = re.compile(r"[\n\x21-\x7e\xa1-\u024f]*").fullmatch
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept, self.known = Tokenizer.from_file(path), kept, {}
-        self.mark = self.tokenizer.encode(self.SEPARATOR, add_special_tokens=False).ids
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.kept = Tokenizer.from_file(path), kept
+        self.parts = Tokenizer(self.whole.model)  # the same merges without normaliser and splitter
+        self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.END)]] = True
+        # byte-level alphabets show printable bytes as themselves and the others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.shown = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + k) for k, b in enumerate(rest)}
+        self.words: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    @classmethod
+    def _words(cls, raw: bytes) -> list[bytes]:
+        """A text's words, in lower case as far as ASCII goes, a comma or full stop after a letter or digit
+        as a word of its own: forms that encode to the same ids and that texts repeat more often."""
+        if b"<|" in raw:  # special tokens keep their case
+            return raw.split()
+        raw = raw.lower()
+        if not cls.CLUSTER(raw):
+            raw = raw.replace(b", ", b" , ").replace(b". ", b" . ").replace(b",\n", b" ,\n").replace(b".\n", b" .\n")
+        return raw.split()
+
+    def _learn_parts(self, parts: list[str], into: dict, keys: list) -> None:
+        for k in range(0, len(parts), 1024):
+            some = parts[k : k + 1024]
+            shown = " ".join(some).encode().decode("latin-1").translate(self.shown | {32: " "})
+            ids = np.array(self.parts.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw = ids.tobytes()
+            into.update(zip(keys[k : k + 1024], (raw[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"\x01" not in w]
-        for w in set(words).difference(plain):
-            self.known[w] = self._bytes(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
-        for k in range(0, len(plain), 512):
-            some = plain[k : k + 512]
-            ids = self.tokenizer.encode_batch_fast([f" {self.SEPARATOR} ".join(w.decode() for w in some)], add_special_tokens=False)[0].ids
-            a = np.array(ids, "<u4")
-            cuts = np.flatnonzero(a == self.mark[0])
-            if len(self.mark) != 1 or len(cuts) != len(some) - 1:  # a word holds the separator's id: one by one
-                for w in some:
-                    self.known[w] = self._bytes(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids)
-                continue
-            raw, start = a.tobytes(), 0
-            for w, end in zip(some, [*cuts.tolist(), len(a)], strict=True):
-                self.known[w] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    @staticmethod
-    def _bytes(ids) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = (text or "").encode().split()
+        plain = [w for w in words if w.isalpha()]  # letters of ASCII are one part
+        self._learn_parts([w.decode() for w in plain], self.words, plain)
+        self._learn_mixed([w for w in words if not w.isalpha()])
+
+    def _learn_mixed(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        joined = "\n".join(texts)
+        lower = joined.lower()
+        if not self.PLAIN(joined) or not self.PLAIN(lower) or "<|" in joined:
+            if len(words) > 1:
+                odd = [not self.PLAIN(t) or not self.PLAIN(t.lower()) or "<|" in t for t in texts]
+                self._learn_mixed([w for w, o in zip(words, odd, strict=True) if not o])
+                words = [w for w, o in zip(words, odd, strict=True) if o]
+            for w in words:
+                self.words[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
+        parts = self.SPLIT.findall(lower)
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = set(parts).difference(known)
+        new.discard("\n")
+        if new:
+            if len(known) + len(new) > self.kept:
+                known.clear()
+                new = set(parts) - {"\n"}
+            self._learn_parts(list(new), known, list(new))
+        ids, k = [], 0
+        for p in parts:
+            if p == "\n":
+                self.words[words[k]] = b"".join(ids)
+                ids, k = [], k + 1
+            else:
+                ids.append(known[p])
+        if words:
+            self.words[words[k]] = b"".join(ids)
+
+    def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers; the texts' new words are encoded together."""
+        split = [self._words(t or b"") for t in texts]
+        known = self.words
+        new = set().union(*split).difference(known)
         if new:
             if len(known) + len(new) > self.kept:
                 known.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join([known[w] for w in words])
+                new = set().union(*split)
+            self._learn(list(new))
+        return [b"".join([known[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -100,15 +151,15 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
     """
     spark = docs.sparkSession
     order = ["doc_id", "_h"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_h"))
     rows = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
 
     def encode(batches):
         enc, before, end = encoder(vocabulary), 0, np.array([end_id], "<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                raw = [enc.encode(t) + end for t in part.column(1).to_pylist()]
+            for k in range(0, b.num_rows, 128):
+                part = b.slice(k, 128)
+                raw = [ids + end for ids in enc.encode_all(part.column(1).to_pylist())]
                 n = np.array([len(x) // 4 for x in raw], "int64")
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype("int32")
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))

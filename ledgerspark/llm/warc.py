@@ -34,11 +34,11 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, nth: int, url: str | None, payload: bytes, refers_to: str | None, date: str = WARC_DATE) -> bytes:
+def record(urn: str, url: str | None, payload: bytes, refers_to: str | None, date: str = WARC_DATE) -> bytes:
     """One WARC/1.1 record; with refers_to a revisit, which keeps the HTTP header and drops the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id, nth)}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{urn}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(url.split()))
     if refers_to is not None:
@@ -47,8 +47,9 @@ def record(page_id: int | None, nth: int, url: str | None, payload: bytes, refer
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page_id: int | None, nth: int = 0) -> str:
-    return f"urn:page:{'null' if page_id is None else page_id}" + (f":{nth}" if nth else "")
+def record_id(page_id: int | None, digest: bytes, nth: int = 0) -> str:
+    """Page, start of the payload's SHA-256, and a number for repeated rows."""
+    return f"urn:page:{'null' if page_id is None else page_id}:{digest[:8].hex()}" + (f":{nth}" if nth else "")
 
 
 def page_of(urn: str) -> int | None:
@@ -159,14 +160,15 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     slim = materialize(rows.where(F.length("payload") >= min_revisit_bytes).select("page_id", "digest"), "warc-digests")
-    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own: the join then has an exchange on either side, and a hot payload's rows can be split
+    firsts = materialize(slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
     refs = slim.join(firsts, "digest").select(F.col("page_id").alias("_p"), F.col("digest").alias("_g"), "first").distinct()
     same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_g"))
-    rows = rows.repartition("page_id").join(refs, same, "left").sortWithinPartitions("page_id", "digest")
+    # one shuffle of the payloads: the join brings rows of one page and payload together, the sort side by side
+    rows = rows.join(refs.hint("merge"), same, "left").sortWithinPartitions("page_id", "digest")
 
     def write(batches):
         bundle, last, nth = Bundle(f"{root}/part-{uuid.uuid4().hex}.warc.zst", frame_bytes), None, 0
-        last_page, seen = object(), 0
 
         def out(index):
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "file", "frame", "frame_offset", "frame_size", "record_offset", "record_size"])
@@ -176,13 +178,10 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
             columns = [b.column(c) for c in ("page_id", "url", "payload", "digest", "_g", "first")]
             for k in range(b.num_rows):
                 page_id, url, payload, digest, linked, first = (c[k].as_py() for c in columns)
-                seen = seen + 1 if page_id == last_page else 0  # records of this page_id so far
                 nth = nth + 1 if (page_id, digest) == last else 0
-                last, last_page = (page_id, digest), page_id
-                refers = None
-                if linked is not None and (page_id != first or nth):
-                    refers = record_id(first)
-                index += bundle.add(page_id, record(page_id, seen, url, payload, refers))
+                last = page_id, digest
+                refers = record_id(first, digest) if linked is not None and (page_id != first or nth) else None
+                index += bundle.add(page_id, record(record_id(page_id, digest, nth), url, payload, refers))
             if index:
                 yield out(index)
         index = bundle.close()
