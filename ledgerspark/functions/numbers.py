@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Fixed values.
 EMPTY_AMOUNTS = ["", "-", "—", "N/A", "n/a", "null", "None"]
 #: One number in a line: optional parenthesis and sign, thousands groups, decimals.
@@ -49,18 +51,15 @@ def amount(raw: Column, mode: str = "documented") -> Column:
     Null for the empty marks and for anything that is no number once currency signs, commas, letters and
     white space are gone. "(-500)" is -500; in compat mode the two signs cancel.
     """
-    text = strip(raw)
-    inner = F.regexp_extract(text, r"^\(([^)]+)\)$", 1)
-    paren = inner != ""
-    minus = text.startswith("-") & ~paren
-    body = F.when(paren, inner).when(minus, F.substring(text, 2, 1 << 30)).otherwise(text)
-    digits = F.regexp_replace(body, r"(?U)[₹$€£\s,A-Za-z]", "")
-    value = F.when(digits.rlike(FLOAT), digits.try_cast("double"))
-    if mode == "compat":
-        value = F.when(paren | minus, -value).otherwise(value)
-    else:
-        value = F.when(paren, -F.abs(value)).when(minus, -value).otherwise(value)
-    return F.when(~text.isin(EMPTY_AMOUNTS), F.round(value, 2))
+    def signed(text: Column) -> Column:
+        paren = text.rlike(r"^\([^)]+\)$")
+        minus = text.startswith("-")
+        body = F.when(paren, F.substring(text, 2, F.length(text) - 2)).when(minus, F.substring(text, 2, 1 << 30)).otherwise(text)
+        value = let(F.regexp_replace(body, r"(?U)[₹$€£\s,A-Za-z]", ""), lambda d: F.when(d.rlike(FLOAT), d.try_cast("double")))
+        negative = (lambda v: -v) if mode == "compat" else (lambda v: F.when(paren, -F.abs(v)).otherwise(-v))
+        return F.when(~text.isin(EMPTY_AMOUNTS), F.round(let(value, lambda v: F.when(paren | minus, negative(v)).otherwise(v)), 2))
+
+    return let(strip(raw), signed)
 
 
 def number_pattern(mode: str = "documented") -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import looks_like_number, strip
+from ..functions.text import let, once
 
 # What marks a page, and what a reporting period looks like, in order of precedence.
 PAGE_MARK = r"(?:---\s*)?[Pp]age\s+(\d+)\s*(?:---)?"
@@ -96,17 +97,18 @@ def periods(lines: DataFrame, mode: str = "documented") -> DataFrame:
     """
     w = Window.partitionBy("doc_id").orderBy("line_no")
     head = lines.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= HEADER_LINES)
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda x, i, k=k: F.struct(F.lit(k).alias("pattern"), i.alias("at"), F.trim(x).alias("period"))) for k, p in enumerate(PERIODS))))
+    named = lambda k: lambda x, i: F.struct(F.lit(k).alias("pattern"), i.alias("at"), F.trim(x).alias("period"))
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), named(k)) for k, p in enumerate(PERIODS))))
     if mode == "documented":
         # a shorter match inside a longer one of the same line is no period of its own
-        found = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["period"] != x["period"]) & y["period"].contains(x["period"])))
+        found = let(found, lambda f: F.filter(f, lambda x: ~F.exists(f, lambda y: (y["period"] != x["period"]) & y["period"].contains(x["period"]))))
     hits = head.select("doc_id", "line_no", F.explode(found).alias("x")).select("doc_id", "line_no", "x.pattern", "x.at", "x.period")
     if mode == "documented":
         count = hits.groupBy("doc_id", "line_no").agg(F.countDistinct("period").alias("n"))
         best = count.groupBy("doc_id").agg(F.max_by("line_no", F.struct("n", -F.col("line_no"))).alias("line_no"))
         hits = hits.join(best, ["doc_id", "line_no"])
-    once = hits.groupBy("doc_id", "period").agg(F.min(F.struct("line_no", "pattern", "at")).alias("first"))
-    return once.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("period_ord"), "period")
+    distinct = hits.groupBy("doc_id", "period").agg(F.min(F.struct("line_no", "pattern", "at")).alias("first"))
+    return distinct.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).alias("period_ord"), "period")
 
 
 def sections(lines: DataFrame, named: DataFrame) -> DataFrame:
@@ -115,12 +117,12 @@ def sections(lines: DataFrame, named: DataFrame) -> DataFrame:
     named is periods(lines): lines that hold a period and little else are dropped. Lines above any header
     belong to "General"; headers without data lines vanish.
     """
-    parsed = lines.withColumn("_p", parse_line(F.col("raw")))
+    parsed = once(lines, _p=parse_line(F.col("raw")))
     names = named.groupBy("doc_id").agg(F.collect_list("period").alias("_periods"))
     parsed = parsed.join(names, "doc_id", "left")
     dated = F.exists(F.coalesce("_periods", F.array().cast("array<string>")), lambda p: F.col("text").contains(p))
     thin = (F.size(F.col("_p.values")) == 0) | (F.length(F.col("_p.label")) < 3)
-    parsed = parsed.where(~(dated & thin)).withColumn("_h", is_header(F.col("text"), F.col("_p")))
+    parsed = once(parsed.where(~(dated & thin)), _h=is_header(F.col("text"), F.col("_p")))
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     title = F.regexp_replace("text", ":$", "")
     with_header = parsed.withColumn("section_no", F.sum(F.col("_h").cast("int")).over(w)).withColumn("header", F.coalesce(F.last(F.when(F.col("_h"), title), ignorenulls=True).over(w), F.lit("General")))

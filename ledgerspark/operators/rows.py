@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import amount, number_pattern
-from ..functions.text import statement_label
+from ..functions.text import once, statement_label
 
 # Beginnings of normalised labels.
 DATED_CASH = ["cash and cash equivalents as at", "cash and cash equivalents on amalgamation"]
@@ -22,22 +22,22 @@ def is_whole(x: Column) -> Column:
     return x == F.floor(x)
 
 
-def line_values(text: Column, mode: str = "documented") -> tuple[Column, Column]:
-    """(label, values) of a line.
+def with_values(lines: DataFrame, mode: str = "documented") -> DataFrame:
+    """lines(text, ...) with label and values.
 
     Of three or more numbers a whole one under 100 in front is a schedule number and goes. Numbers that
     do not parse leave the values but still bound the label.
     """
     rx = number_pattern(mode)
-    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({rx})"), F.lit(1)), lambda x: amount(x, mode)), lambda v: v.isNotNull())
-    first = F.get(found, F.lit(0))
-    schedule = (F.size(found) >= 3) & is_whole(first) & (F.abs(first) < 100)
-    values = F.when(schedule, F.slice(found, 2, F.greatest(F.size(found), F.lit(1)))).otherwise(found)
-    has = text.rlike(rx)
-    before = F.regexp_extract(text, f"^(.*?)(?>{rx})", 1)
-    before_second = F.regexp_extract(text, f"^(.*?(?>{rx}).*?)(?>{rx})", 1)
-    label = F.when(~has, text).when(schedule, before_second).otherwise(before)
-    return F.regexp_replace(label, r"^[ :\-\t]+|[ :\-\t]+$", ""), values
+    parsed = F.transform(F.regexp_extract_all("text", F.lit(f"({rx})"), F.lit(1)), lambda x: amount(x, mode))
+    x = once(lines, _found=F.filter(parsed, lambda v: v.isNotNull()))
+    first = F.get("_found", F.lit(0))
+    schedule = F.coalesce((F.size("_found") >= 3) & is_whole(first) & (F.abs(first) < 100), F.lit(False))
+    values = F.when(schedule, F.slice("_found", 2, F.greatest(F.size("_found"), F.lit(1)))).otherwise(F.col("_found"))
+    before = F.regexp_extract("text", f"^(.*?)(?>{rx})", 1)
+    before_second = F.regexp_extract("text", f"^(.*?(?>{rx}).*?)(?>{rx})", 1)
+    label = F.when(~F.col("text").rlike(rx), F.col("text")).when(schedule, before_second).otherwise(before)
+    return once(x, label=F.regexp_replace(label, r"^[ :\-\t]+|[ :\-\t]+$", ""), values=values).drop("_found")
 
 
 def fifo_pairs(events: DataFrame, key: str, order: str, kind: str) -> DataFrame:
@@ -66,19 +66,17 @@ def rows(lines: DataFrame, mode: str = "documented") -> DataFrame:
     A line with a label and values is a row. A line with values alone takes the oldest label that still
     waits, and its own place; lines with a label alone wait.
     """
-    label, values = line_values(F.col("text"), mode)
-    x = lines.withColumns({"label": label, "values": values})
-    x = x.withColumn("label_norm", statement_label(F.col("label")))
-    ordinal = starts_with(F.col("label_norm"), DATED_CASH) & (F.size("values") > 0) & F.forall("values", lambda v: F.abs(v) <= 31)
-    x = x.withColumn("values", F.when(ordinal, F.array().cast("array<double>")).otherwise(F.col("values")))
+    x = once(with_values(lines, mode).withColumnRenamed("values", "_v"), label_norm=statement_label(F.col("label")), whole=statement_label(F.col("text")))
+    ordinal = starts_with(F.col("label_norm"), DATED_CASH) & (F.size("_v") > 0) & F.forall("_v", lambda v: F.abs(v) <= 31)
+    x = once(x, values=F.when(ordinal, F.array().cast("array<double>")).otherwise(F.col("_v"))).drop("_v")
     if mode == "documented":  # a line of dates is no row
         dates = F.regexp_replace("text", r"\d{1,2}[-/]\w{3}[-/]\d{2,4}", "")
         x = x.where(~((F.col("text") != dates) & ~dates.rlike(r"\d") & (F.size("values") > 0)))
-    whole = statement_label(F.col("text"))
+    whole = F.col("whole")
     has = F.size("values") > 0
     single = (F.size("values") == 1) & is_whole(F.get("values", F.lit(0))) & (F.abs(F.get("values", F.lit(0))) <= 300) & F.regexp_replace("text", "[ ,]", "").rlike(r"^\d+$")
     kind = F.when(has & (F.col("label") != ""), "row").when(~has & (F.length(whole) >= 3) & whole.rlike("[a-z]") & ~starts_with(whole, NOT_PENDING), "push").when(has & ~single, "pop")
-    x = x.withColumn("kind", kind).where("kind IS NOT NULL")
+    x = once(x, kind=kind).where("kind IS NOT NULL")
     whole_rows = x.where(F.col("kind") == "row").where(~starts_with(F.col("label_norm"), NOT_ROWS))
     pairs = fifo_pairs(x.select("doc_id", "line_no", "kind"), "doc_id", "line_no", "kind")
     pushed = x.where(F.col("kind") == "push").select("doc_id", F.col("line_no").alias("push"), F.col("text").alias("_label"), F.col("page").alias("_page"))
