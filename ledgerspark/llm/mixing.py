@@ -5,7 +5,7 @@ Each source s gets a token target T_s. Document rates r_i in [0, cap] are those
 source and its solution tilts documents exponentially: r_i = cap / (1 + (cap - 1) exp(-lambda_s u_i)),
 u_i the size over the source's mean size. Newton steps for all sources run together, each as one
 aggregation over (source, size) counts. Rates are then rounded into copies by systematic sampling in
-order of size, and a few single-document flips per source take off what rounding left over.
+order of size, and a few rounds of single-copy flips per source take off what rounding left over.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import WORD, materialize, running_totals
 
 #: Rates are rounded as integers of this many parts, so sums do not depend on the order of rows.
 PARTS = 1 << 20
+#: Documents of a source that one round of flips changes, at most.
+STEPS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -109,9 +111,15 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, fl
     cum = materialize(cum.select("doc_id", "skey", "size", "source_size", "target", "rate", "copies", "row"), "mix-copies")
     for k in range(flips):
         gap = cum.groupBy("skey").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
-        able = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.abs("gap"))
-        best = cum.join(gap, "skey").where(able).groupBy("skey").agg(F.min_by(F.struct("row", F.signum("gap").cast("long").alias("by")), F.struct(F.abs(F.abs("gap") - F.col("size")), "row")).alias("x"))
-        best = materialize(best.select(F.col("x.row").alias("row"), F.col("x.by").alias("by")), "mix-flips")
+        able = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
+        some = cum.join(gap, "skey").where(able).select("skey", "row", "size", "gap")
+        # the largest that fit; the rank keeps STEPS rows of a source in each task, before the shuffle
+        w = Window.partitionBy("skey").orderBy(F.desc("size"), "row")
+        fit = some.where(F.col("size") <= F.abs("gap")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= STEPS)
+        fit = fit.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= abs(gap)").select("skey", "row", F.signum("gap").cast("long").alias("by"))
+        # where none fits, the smallest that still brings the source nearer
+        near = some.where((F.col("size") > F.abs("gap")) & (F.col("size") < 2 * F.abs("gap"))).groupBy("skey").agg(F.min_by(F.struct("row", F.signum("gap").cast("long").alias("by")), F.struct("size", "row")).alias("x")).select("skey", "x.row", "x.by")
+        best = materialize(fit.unionByName(near.join(fit.select("skey").distinct(), "skey", "left_anti")).select("row", "by"), "mix-flips")
         if best.isEmpty():
             break
         cum = cum.join(best, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by")
