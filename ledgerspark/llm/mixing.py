@@ -116,10 +116,14 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, fl
         # the largest that fit; the rank keeps STEPS rows of a source in each task, before the shuffle
         w = Window.partitionBy("skey").orderBy(F.desc("size"), "row")
         fit = some.where(F.col("size") <= F.abs("gap")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= STEPS)
-        fit = fit.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= abs(gap)").select("skey", "row", F.signum("gap").cast("long").alias("by"))
-        # where none fits, the smallest that still brings the source nearer
-        near = some.where((F.col("size") > F.abs("gap")) & (F.col("size") < 2 * F.abs("gap"))).groupBy("skey").agg(F.min_by(F.struct("row", F.signum("gap").cast("long").alias("by")), F.struct("size", "row")).alias("x")).select("skey", "x.row", "x.by")
-        best = materialize(fit.unionByName(near.join(fit.select("skey").distinct(), "skey", "left_anti")).select("row", "by"), "mix-flips")
+        fit = fit.withColumn("sum", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= abs(gap)")
+        # or the one that comes nearest, where that leaves less
+        one = some.where(F.col("size") < 2 * F.abs("gap")).groupBy("skey").agg(F.first("gap").alias("gap"), F.min(F.struct(F.abs(F.abs("gap") - F.col("size")).alias("left"), "row")).alias("x"))
+        rest = fit.groupBy("skey").agg((F.first(F.abs("gap")) - F.max("sum")).alias("rest"))
+        single = one.join(rest, "skey", "left").withColumn("single", F.coalesce(F.col("x.left") < F.col("rest"), F.lit(True)))
+        by = F.signum("gap").cast("long").alias("by")
+        many = fit.join(single.where("NOT single").select("skey"), "skey", "left_semi").select("row", by)
+        best = materialize(many.unionByName(single.where("single").select("x.row", by)), "mix-flips")
         if best.isEmpty():
             break
         cum = cum.join(best, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by")

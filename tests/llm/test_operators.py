@@ -245,7 +245,8 @@ def test_mix(spark, mixed):
         assert r.target == pytest.approx(by[r.source_size]) and r.taken <= 2 * r.size and r.taken == r.copies * r.size
         taken[r.source_size] += r.taken
     for s in order:
-        assert abs(taken[sizes[s]] - target[s]) <= max(30, 0.02 * target[s])
+        # the null source has one document of 4,001 words: no whole number of copies comes nearer than half of it
+        assert abs(taken[sizes[s]] - target[s]) <= (max(30, 0.02 * target[s]) if s is not None else 4001 / 2)
     again = mixing.mix(docs_of(spark, mixed[::-1])).collect()
     assert Counter((r.doc_id, r.size, r.taken) for r in again) == Counter((r.doc_id, r.size, r.taken) for r in got)
     rows = mixing.mixed_rows(docs_of(spark, mixed))
