@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From every sentence starts a span: the shortest run of consecutive
-sentences that has at least MIN_SENTENCES of them and MIN_WORDS words. Spans are hashed and joined over
+A text is cut into sentences. From every sentence starts a span, and at every sentence ends one: the
+shortest run of consecutive sentences that has at least MIN_SENTENCES of them and MIN_WORDS words. A
+sentence of LONE_WORDS words or more is a span of its own. Spans are hashed and joined over
 the whole corpus; of equal spans the first, by doc_id and position, stays, and the sentences of every
 other one are removed.
 """
@@ -19,9 +20,11 @@ from pyspark.sql import types as T
 from .common import materialize
 
 MIN_SENTENCES, MIN_WORDS = 2, 16
+#: A single sentence of so many words is a span.
+LONE_WORDS = 50
 
 #: A sentence ends after closing punctuation that white space follows, or at a line's end; it keeps what follows it.
-SENTENCE = regex.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’)\]]*(?=\s|$)|$|(?=\n))\s*", regex.MULTILINE)
+SENTENCE = regex.compile(r"[^\n]*?(?:[.!?…。！？।॥؟۔]+[\"'”’)\]]*(?=\s|$)|$|(?=\n))\s*", regex.MULTILINE)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -38,6 +41,16 @@ def span_ends(words: list[int], min_sentences: int = MIN_SENTENCES, min_words: i
     return np.where(ends <= n, ends, 0).tolist()
 
 
+def span_ranges(words: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> list[tuple[int, int]]:
+    """(start, end) of all spans of a text whose sentences have so many words, each once."""
+    n = len(words)
+    out = {(j, end) for j, end in enumerate(span_ends(words, min_sentences, min_words)) if end}
+    # the shortest that ends at a sentence is the shortest that starts there when read backwards
+    out |= {(n - end, n - j) for j, end in enumerate(span_ends(words[::-1], min_sentences, min_words)) if end}
+    out |= {(j, j + 1) for j, size in enumerate(words) if size >= lone_words}
+    return sorted(out)
+
+
 def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, doc_id, start, n, key) for each span of docs(row, doc_id, text); key is a 128-bit hash of its words."""
 
@@ -49,9 +62,8 @@ def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
                 for i, text in enumerate(part.column("text").to_pylist()):
                     words = [s.encode().split() for s in sentences(text)]
                     plain = [b" ".join(w) for w in words]
-                    ends = span_ends([len(w) for w in words], min_sentences, min_words)
-                    for j, end in enumerate(ends):
-                        if end and plain[j]:
+                    for j, end in span_ranges([len(w) for w in words], min_sentences, min_words):
+                        if plain[j]:
                             at.append(i)
                             start.append(j)
                             size.append(end - j)
@@ -75,7 +87,7 @@ def dedup(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
     """
     source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     found = materialize(spans(source, min_sentences, min_words), "spans")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start", "n")
     # a table of its own: the join then has an exchange on either side, and a hot span's rows can be split
     first = materialize(found.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("n_found")).where("n_found > 1").drop("n_found"), "spans-first")
     late = found.join(first, "key").where(order > F.col("first")).select("row", "doc_id", "start", "n")
