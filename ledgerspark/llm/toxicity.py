@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A word that holds look-alike characters, runs of one letter, or single letters set apart is decoded: each
-character may stand for itself, for the letters it resembles, or for nothing; the Viterbi path that a
+A word that holds look-alike characters, runs of one letter, or single letters set apart is decoded, and so
+is any other without a score: each character may stand for itself, for the letters it resembles, or for nothing; the Viterbi path that a
 character trigram model of the corpus and the channel like best is the restored word. A restored word's
 score is the share of toxic documents among those that hold it, backed off over its beginnings; a
 document has the score of its worst word.
@@ -10,6 +10,7 @@ document has the score of its worst word.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ from .linear import labelled_sample, training_rows
 # The letters that the language model tells apart, and what characters resemble.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýœ"
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "µ": "u", "*": "aeiou", "#": "h", "%": "x"}
+#: Cyrillic, Greek and other letters drawn like Latin ones.
+HOMOGLYPHS = dict(zip("абвгеікмнорсѕтухјԁԛԝһαβεικνορτυχıɡɑ", "abbreikmhopcstyxjdqwhabeikvoptuxiga", strict=True))
 NOISE = ".,-_*'`~^:;/\\#"
 #: Natural log probabilities of the channel: a look-alike, a dropped character, a repeated letter.
 LOOK, DROP, REPEAT = math.log(0.05), math.log(0.02), math.log(0.03)
@@ -44,10 +47,25 @@ WORDS_KEPT = 500_000
 
 _TAIL = regex.compile(r"(?:([*#$%&!?.,;:|'\"\)\]>])\1+|[.,;:?!'\"\)\]>])+$")
 _HEAD = regex.compile(r"^(?:([*#$%&!?.,;:|'\"\(\[<])\1+|[.,;:?'\"\(\[<])+")
-_SPACED = regex.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)")
+_SPACED = regex.compile(r"(?:(?<=\s)|^)\S(?:[ \t]+\S){2,}(?=\s|$)")
 _ODD = regex.compile(r"(\p{L})\1\1|[^\p{L}]")
 
 
+#: Most letters that are read from each start in a run of single characters; scores look at fewer.
+SPELLED = 24
+
+
+@lru_cache(maxsize=1 << 16)
+def choices_of(x: str) -> list[tuple[str, int, float]]:
+    """(letter, its number, channel cost) of what a character may stand for."""
+    i = LETTERS.find(x)
+    out = [(x, i if i >= 0 else OTHER, 0.0)] if i >= 0 or x.isalpha() else [(y, LETTERS.index(y), LOOK) for y in LOOKALIKES.get(x, "")]
+    base = HOMOGLYPHS.get(x) or unicodedata.normalize("NFKD", x)[:1]
+    if out and base != x and base in LETTERS:
+        out.append((base, LETTERS.index(base), LOOK))
+    return out
+
+
 @lru_cache(maxsize=1)
 def _codes() -> np.ndarray:
     """By code point: the number of a letter, OTHER for other letters, EDGE for all that ends a word."""
@@ -94,8 +112,7 @@ def decode(word: str, model: np.ndarray) -> str:
     # states: the last two letters; each holds (log probability, text)
     states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
     for k, x in enumerate(word):
-        i = LETTERS.find(x)
-        choices = [(x, i if i >= 0 else OTHER, 0.0)] if i >= 0 or x.isalpha() else [(y, LETTERS.index(y), LOOK) for y in LOOKALIKES.get(x, "")]
+        choices = choices_of(x)
         same = k > 0 and word[k - 1] == x
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (p, text) in states.items():
@@ -129,6 +146,15 @@ class Restorer:
             return core  # numbers, rules of punctuation
         return decode(core, self.model)
 
+    def guess(self, word: str) -> str:
+        """What model and channel read in a word of any look, also with its punctuation; nothing for numbers."""
+        for core in (_HEAD.sub("", _TAIL.sub("", word)), word.rstrip(".,;:?\"')]")):
+            if core and not core.isdigit():
+                got = decode(core, self.model)
+                if any(x in self.shares for x in beginnings(got)):
+                    return got
+        return ""
+
     def features(self, word: str) -> tuple:
         """A word's score if it or a beginning of it is a sign of toxicity, as a tuple; else nothing.
 
@@ -136,6 +162,9 @@ class Restorer:
         """
         core = self.restore(word)
         names = [x for x in beginnings(core) if x in self.shares]
+        if not names and self.shares:
+            core = self.guess(word)
+            names = [x for x in beginnings(core) if x in self.shares]
         if not names:
             return ()
         p = self.shares[names[-1]]
@@ -145,10 +174,12 @@ class Restorer:
         return (p,)
 
     def words(self, text: str | None) -> set[str]:
-        """A text's words in lower case, and words spelled out in single characters."""
+        """A text's words in lower case, and words spelled out in single characters, from each of these on."""
         low = (text or "").lower()
         words = set(low.split())
-        words.update([m.group().replace(" ", "").replace("\t", "") for m in _SPACED.finditer(low)])
+        for m in _SPACED.finditer(low):
+            run = "".join(m.group().split())
+            words.update([run[k : k + SPELLED] for k in range(len(run) - 2)])
         return words
 
     def worst(self, text: str | None) -> float | None:
