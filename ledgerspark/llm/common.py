@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +17,84 @@ from pyspark.sql import types as T
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Where intermediate tables go if the session names no shared folder (tests, one machine).
-LOCAL_SHARED = "file:///tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    A session of one machine may name none: its own temporary folder serves then. On a cluster that
+    would lose data, so it raises.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as none of the columns (in any case) has."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable[[], object]):
+    """The heavy object that this Python worker keeps between tasks: one only, so an operator's goes when another's comes."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
+class Recent:
+    """What is known of words, within `most` bytes: those not met since half of it was filled go.
+
+    Words of over LONG bytes are known for one batch only.
+    """
+
+    LONG, SPACE = 200, 200  # SPACE: what an entry takes beside its bytes
+
+    def __init__(self, most: int):
+        self.half, self.now, self.before, self.filled, self.long = most // 2, {}, {}, 0, []
+
+    def unknown(self, words: set) -> list:
+        """Start a batch of these words: those that put() has to tell; all stand in `now` afterwards."""
+        for w in self.long:
+            self.now.pop(w, None)
+        self.long = []
+        if self.filled > self.half:
+            self.before, self.now, self.filled = self.now, {}, 0
+        out = []
+        for w in words.difference(self.now):
+            got = self.before.get(w)
+            if got is None:
+                out.append(w)
+            else:
+                self.put(w, got)
+        return out
+
+    def put(self, word, got) -> None:
+        self.now[word] = got
+        if len(word) > self.LONG:
+            self.long.append(word)
+        else:
+            self.filled += self.SPACE + len(word) + len(got)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, schema = df.sparkSession, df.schema

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -18,12 +17,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import Recent, resident, shared_path
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
-#: A worker forgets the words it has encoded when it holds so many, so its memory is bounded.
-WORDS_KEPT = 600_000
+#: Bytes of encoded words, and again of their parts, that a worker remembers at most.
+WORDS_BYTES, PARTS_BYTES = 128 << 20, 48 << 20
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -48,13 +47,14 @@ class WordEncoder:
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
     END = "</w>"
     #: A comma or full stop that white space follows and that belongs to a run of punctuation.
-    CLUSTER = re.compile(rb"[,.](?=[ \n])(?<![a-z0-9][,.])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][,.])(?<![\xc4-\xc9][\x80-\xbf][,.])").search
-    PLAIN = re.compile(r"[\n\x21-\x7e\xa1-\u024f]*").fullmatch
+    CLUSTER = re.compile(rb"[,.](?=[ \n])(?<![a-z0-9][,.])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][,.])(?<!\xc4[\x80-\xaf\xb1-\xbf][,.])(?<![\xc5-\xc9][\x80-\xbf][,.])").search
+    #: U+0130 is left out: in lower case it ends in a combining dot, which the splitter joins with punctuation.
+    PLAIN = re.compile(r"[\n\x21-\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT):
+    def __init__(self, path: str, words_bytes: int = WORDS_BYTES, parts_bytes: int = PARTS_BYTES):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.kept = Tokenizer.from_file(path), kept
+        self.whole = Tokenizer.from_file(path)
         self.parts = Tokenizer(self.whole.model)  # the same merges without normaliser and splitter
         self.parts.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.whole.get_vocab()
@@ -64,8 +64,7 @@ class WordEncoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.shown = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.words: dict[bytes, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.words, self.known = Recent(words_bytes), Recent(parts_bytes)
 
     @classmethod
     def _words(cls, raw: bytes) -> list[bytes]:
@@ -78,14 +77,15 @@ class WordEncoder:
             raw = raw.replace(b", ", b" , ").replace(b". ", b" . ").replace(b",\n", b" ,\n").replace(b".\n", b" .\n")
         return raw.split()
 
-    def _learn_parts(self, parts: list[str], into: dict, keys: list) -> None:
+    def _learn_parts(self, parts: list[str], into: Recent, keys: list) -> None:
         for k in range(0, len(parts), 1024):
             some = parts[k : k + 1024]
             shown = " ".join(some).encode().decode("latin-1").translate(self.shown | {32: " "})
             ids = np.array(self.parts.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             raw = ids.tobytes()
-            into.update(zip(keys[k : k + 1024], (raw[4 * i : 4 * j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
+            for key, i, j in zip(keys[k : k + 1024], [0, *cuts[:-1]], cuts, strict=True):
+                into.put(key, raw[4 * i : 4 * j])
 
     def _learn(self, words: list[bytes]) -> None:
         plain = [w for w in words if w.isalpha()]  # letters of ASCII are one part
@@ -102,43 +102,33 @@ class WordEncoder:
                 self._learn_mixed([w for w, o in zip(words, odd, strict=True) if not o])
                 words = [w for w, o in zip(words, odd, strict=True) if o]
             for w in words:
-                self.words[w] = np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                self.words.put(w, np.array(self.whole.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes())
             return
         parts = self.SPLIT.findall(lower)
-        known = self.known
-        new = set(parts).difference(known)
-        new.discard("\n")
-        if new:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                new = set(parts) - {"\n"}
-            self._learn_parts(list(new), known, list(new))
-        ids, k = [], 0
+        new = self.known.unknown(set(parts) - {"\n"})
+        self._learn_parts(new, self.known, new)
+        ids, k, known = [], 0, self.known.now
         for p in parts:
             if p == "\n":
-                self.words[words[k]] = b"".join(ids)
+                self.words.put(words[k], b"".join(ids))
                 ids, k = [], k + 1
             else:
                 ids.append(known[p])
         if words:
-            self.words[words[k]] = b"".join(ids)
+            self.words.put(words[k], b"".join(ids))
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; the texts' new words are encoded together."""
         split = [self._words(t or b"") for t in texts]
-        known = self.words
-        new = set().union(*split).difference(known)
+        new = self.words.unknown(set().union(*split))
         if new:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                new = set().union(*split)
-            self._learn(list(new))
-        return [b"".join([known[w] for w in words]) for words in split]
+            self._learn(new)
+        known = self.words.now.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return resident(("token_orc", path), lambda: WordEncoder(path))
 
 
 def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, files: int | None = None) -> str:
@@ -146,8 +136,9 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
     Null or empty text: the end id alone. Null doc_id: first in order. Repeated ids: one row each, in
     order of their texts' hashes. Empty table: files without rows. Other columns are ignored. The ids of
-    a document stay in one row, however long it is. before is the number of ids in the same file that
-    stand before the row.
+    a document stay in one row, however long it is; so does a very long text or word. before is the number
+    of ids in the same file that stand before the row; a task writes one file, whatever the session says
+    of records per file.
     """
     spark = docs.sparkSession
     order = ["doc_id", "_h"]
@@ -168,7 +159,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
     path = shared_path(spark, "tokens-orc")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows.mapInArrow(encode, f"doc_id {kind}, before long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    rows.mapInArrow(encode, f"doc_id {kind}, before long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS, maxRecordsPerFile="0").orc(path)
     return path
 
 
@@ -178,14 +169,23 @@ def read_tokens(spark: SparkSession, path: str, schema: str = "doc_id long, befo
     The files' totals come from the metadata columns alone; there are as many as files, which
     spark.sql.shuffle.partitions bounds, so they are broadcast.
     """
-    rows = spark.read.schema(schema).orc(path).withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    # part files are named in the order of their partitions
+    # part files carry the number of their partition
+    rows = spark.read.schema(schema).orc(path).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("int"))
     files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n"))
     w = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_o"))
     return rows.join(F.broadcast(files), "_file").withColumn("start", F.col("before") + F.col("_o")).drop("_file", "_o", "before")
 
 
+def lookup(spark: SparkSession, path: str, doc_ids: list, schema: str = "doc_id long, before long, n_tokens long, ids array<int>") -> DataFrame:
+    """(doc_id, n_tokens, ids) of the given documents.
+
+    The condition reaches the ORC reader: statistics leave out files, stripes and row groups whose ids
+    lie elsewhere, and Bloom filters those whose range holds an id that they have not.
+    """
+    return spark.read.schema(schema).orc(path).where(F.col("doc_id").isin(*doc_ids)).select("doc_id", "n_tokens", "ids")
+
+
 def crc_of_ids(batches):
     """mapInArrow: unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers."""
     for b in batches:
