@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -18,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import Recent, resident
+
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
-#: A worker forgets the words it has measured when it holds so many.
-WORDS_KEPT = 500_000
+#: Bytes of measured words that a worker remembers at most.
+WORDS_BYTES = 128 << 20
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 0.2, 5
@@ -60,7 +61,7 @@ BANDS = {
 class Measure:
     """Token counts of words under both vocabularies, remembered by word."""
 
-    def __init__(self, byte_bpe: str, piece_bpe: str, kept: int = WORDS_KEPT):
+    def __init__(self, byte_bpe: str, piece_bpe: str, words_bytes: int = WORDS_BYTES):
         import sentencepiece
         import tiktoken
 
@@ -72,7 +73,7 @@ class Measure:
         self.begins_piece = np.array([self.pieces.IdToPiece(i).startswith("\u2581") for i in range(self.pieces.GetPieceSize())])
         self.begins_token = np.zeros(max(ranks.values()) + 1, bool)
         self.begins_token[[n for token, n in ranks.items() if token.startswith(b" ")]] = True
-        self.kept, self.known = kept, {}
+        self.words = Recent(words_bytes)
 
     def _learn(self, words: list[bytes]) -> None:
         """Measure new words, many in one call: both vocabularies mark where a word begins."""
@@ -84,31 +85,32 @@ class Measure:
             if len(starts) == len(some) == len(cuts):
                 raw, ends = pieces.tobytes(), [*starts[1:].tolist(), len(pieces)]
                 counts = np.diff([*cuts.tolist(), len(tokens)]).tolist()
-                self.known.update((w, (n, raw[2 * i : 2 * j])) for w, n, i, j in zip(some, counts, starts.tolist(), ends, strict=True))
+                for w, n, i, j in zip(some, counts, starts.tolist(), ends, strict=True):
+                    self.words.put(w, n.to_bytes(4, "little") + raw[2 * i : 2 * j])
                 continue
             for w in some:  # a word that a vocabulary's normaliser splits or drops
                 t = w.decode()
-                self.known[w] = len(self.bpe.encode_ordinary(" " + t)), np.array(self.pieces.encode(t), "<u2").tobytes()
+                self.words.put(w, len(self.bpe.encode_ordinary(" " + t)).to_bytes(4, "little") + np.array(self.pieces.encode(t), "<u2").tobytes())
 
     def prepare(self, texts: list[list[bytes]]) -> None:
         """Measure the new words of several texts together."""
-        known = self.known
-        new = set().union(*texts).difference(known)
+        new = self.words.unknown(set().union(*texts))
         if new:
-            if len(known) + len(new) > self.kept:
-                known.clear()
-                new = set().union(*texts)
-            self._learn(list(new))
+            self._learn(new)
 
     def of(self, words: list[bytes]) -> tuple[int, np.ndarray]:
         """(byte-BPE tokens, piece ids) of all words together; prepare() has seen them."""
-        got = [self.known[w] for w in words]
-        return sum([n for n, _ in got]), np.frombuffer(b"".join([p for _, p in got]), "<u2")
+        got = list(map(self.words.now.__getitem__, words))
+        flat = np.frombuffer(b"".join(got), "<u2")
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 2
+        at = np.cumsum(size) - size  # a word's number of byte-BPE tokens takes two places, then come its pieces
+        pieces = np.ones(len(flat), bool)
+        pieces[at] = pieces[at + 1] = False
+        return int(flat[at].sum(dtype=np.int64)) + (int(flat[at + 1].sum(dtype=np.int64)) << 16), flat[pieces]
 
 
-@lru_cache(maxsize=1)
 def _measure(byte_bpe: str, piece_bpe: str) -> Measure:
-    return Measure(byte_bpe, piece_bpe)
+    return resident(("fertility", byte_bpe, piece_bpe), lambda: Measure(byte_bpe, piece_bpe))
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
