@@ -1,10 +1,11 @@
 """Line dedup: a segment-partition edit-distance join over all distinct lines.
 
-With a threshold of t edits a line is cut into t + 1 segments. Two lines within t edits share at least
+With a budget of t edits a line is cut into t + 1 segments. Two lines within t edits share at least
 one segment of the shorter, at nearly the same place, so each line looks up, for every length from its
 own down to t less, the substrings that a segment of such a line could be (the multi-match-aware windows
-of Li et al., 2011). Candidates pass a bound on character and bigram parities inside the join and are
-verified with banded bit-parallel edit distance.
+of Li et al., 2011). Lines are made distinct before any key is joined, so a line that stands in every
+document has its keys once. Candidates pass a bound on character and bigram parities inside the join and
+are verified with banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -14,16 +15,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, materialize
+from .common import components, fresh, materialize
 
-EDITS = 2
-#: Shorter lines are the same only if they are equal.
-MIN_CHARS = 20
-#: Buckets of the fixed-size filter that keeps texts of lines without candidates out of the shuffle.
-FILTER_BITS = 20
+#: (least characters, edits): what two lines may differ by, by the length of the shorter. Still shorter
+#: lines are the same only if they are equal.
+BUDGETS = ((8, 1), (20, 2))
+#: Buckets of the fixed-size filters that tell lines which certainly stand once, or have no candidate, from
+#: the rest. Where most of a filter is set more rows go through a shuffle, and results stay the same.
+FILTER_BITS = 22
 
-_CHAR_BITS, _PAIR_BITS = 24, 40
+_CHAR_BITS, _PAIR_BITS = 23, 40
+_CHARS, _PAIRS = (1 << _CHAR_BITS) - 1, ((1 << _PAIR_BITS) - 1) << _CHAR_BITS
+_ROWS = 512
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -36,6 +41,11 @@ def line_id(line: str) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(line)).view(np.int64))
 
 
+def edits_of(n: int, budgets=BUDGETS) -> int:
+    """Edits that a pair may have whose shorter line has n characters."""
+    return max((e for least, e in budgets if n >= least), default=0)
+
+
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
     """(start, length) of the edits + 1 segments of a line of n characters, the longer ones last."""
     parts, short = edits + 1, n // (edits + 1)
@@ -58,14 +68,32 @@ def windows(n: int, length: int, edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def parities(codes: np.ndarray) -> int:
-    """64 bits: parities of hashed characters (24) and character pairs (40)."""
-    c = codes.astype(np.uint64)
-    one = np.uint64(1)
-    a = np.bitwise_xor.reduce(one << (c * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(_CHAR_BITS), initial=np.uint64(0))
+def plan(n: int, budgets=BUDGETS) -> tuple[list[tuple[int, int, int]], int, int]:
+    """What a line of n characters has as keys: (seed, start, end) of each, then how many of the first are
+    its own segments, and how many look among lines of its own length. Seeds tell length and segment."""
+    own = edits_of(n, budgets)
+    if not own:
+        return [], 0, 0
+    index = [(g, at, size) for g, (at, size) in enumerate(segments(n, own))]
+    same = index + [x for x in windows(n, n, own) if x not in index]
+    keys = [(n << 4 | g, at, at + size) for g, at, size in same]
+    for length in range(n - 1, 0, -1):
+        e = edits_of(length, budgets)
+        if n - length > e:
+            break
+        keys += [(length << 4 | g, at, at + size) for g, at, size in windows(n, length, e)]
+    return keys, len(index), len(same)
+
+
+def parities(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """63 bits for each of the lines that begin at starts: parities of hashed characters (23) and character pairs (40)."""
+    c, one = codes.astype(np.uint64), np.uint64(1)
+    a = one << (c * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(_CHAR_BITS)
+    b = np.zeros(len(c), np.uint64)
     p = c[:-1] * np.uint64(0x85EBCA6B) + c[1:] * np.uint64(0xC2B2AE35)
-    b = np.bitwise_xor.reduce(one << (p >> np.uint64(9)) % np.uint64(_PAIR_BITS) + np.uint64(_CHAR_BITS), initial=np.uint64(0))
-    return int((a | b).view(np.int64))
+    b[:-1] = one << (p >> np.uint64(9)) % np.uint64(_PAIR_BITS) + np.uint64(_CHAR_BITS)
+    b[starts[1:] - 1] = 0  # a pair lies within a line
+    return np.bitwise_xor.reduceat(a, starts) | np.bitwise_xor.reduceat(b, starts)
 
 
 def edit_distance(a: str, b: str, most: int) -> int | None:
@@ -102,118 +130,150 @@ def edit_distance(a: str, b: str, most: int) -> int | None:
     return next((d for d, s in enumerate(state) if s & goal), None)
 
 
+def _slices(batches, column: int):
+    """(slice, its distinct lines' texts) for every few rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, _ROWS):
+            part = b.slice(k, _ROWS)
+            yield part, [lines_of(t) for t in part.column(column).to_pylist()]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, id) of every line that is not blank in docs(doc_id, text); line_no counts from 0."""
+    """(row, doc_id, line_no, id) of every line that is not blank in docs(row, doc_id, text); line_no counts from 0."""
 
     def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                at, number, ids = [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    for j, line in enumerate(lines_of(text)):
-                        if line:
-                            at.append(i)
-                            number.append(j)
-                            ids.append(xxhash.xxh3_64_intdigest(line))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))], names=["doc_id", "line_no", "id"])
+        for part, texts in _slices(batches, 2):
+            at = [i for i, lines in enumerate(texts) for x in lines if x]
+            number = [j for lines in texts for j, x in enumerate(lines) if x]
+            ids = [xxhash.xxh3_64_intdigest(x) for lines in texts for x in lines if x]
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32()), pa.array(np.array(ids, np.uint64).view(np.int64))], names=["row", "doc_id", "line_no", "id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line_no int, id long")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {kind}, line_no int, id long")
+
+
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A filter of 2**FILTER_BITS cells, set where one of ids(id) falls: its size does not grow with the data."""
+    mask = (1 << FILTER_BITS) - 1
+    out = np.zeros(mask + 1, bool)
+    out[ids.select(F.col("id").bitwiseAND(F.lit(mask)).cast("int").alias("i")).distinct().toArrow()["i"].to_numpy()] = True
+    return out
 
 
-def _keys(docs: DataFrame, probe: bool, edits: int, min_chars: int) -> DataFrame:
-    """(key, id, n, sig) rows of each line: of its segments, or with probe of the substrings it looks up."""
+def line_keys(docs: DataFrame, found: DataFrame, budgets=BUDGETS) -> DataFrame:
+    """(id, sig, n_index, n_same, keys) of each distinct line of docs(text) that has keys, once; found: occurrences().
+
+    Lines that certainly stand once go straight on; all others meet in an aggregation on their id first.
+    """
+    cast = docs.sparkSession.sparkContext.broadcast(_bits(found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")))
+    mask = (1 << FILTER_BITS) - 1
 
     def run(batches):
-        plans: dict[int, list[tuple[int, int, int]]] = {}
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                lines = {x for t in b.column(0).slice(k, 512).to_pylist() for x in lines_of(t) if len(x) >= min_chars}
-                keys, ids, sizes, sigs, counts = [], [], [], [], []
-                for line in lines:
-                    n, raw = len(line), line.encode("utf-32-le", "surrogatepass")
-                    plan = plans.get(n)
-                    if plan is None:
-                        lengths = range(max(min_chars, n - edits), n + 1) if probe else (n,)
-                        plan = plans[n] = [(length << 4 | g, 4 * at, 4 * (at + size)) for length in lengths for g, at, size in (windows(n, length, edits) if probe else ((g, *x) for g, x in enumerate(segments(n, edits))))]
-                    keys += [xxhash.xxh3_64_intdigest(raw[i:j], seed) for seed, i, j in plan]
-                    ids.append(xxhash.xxh3_64_intdigest(line))
-                    sizes.append(n)
-                    sigs.append(parities(np.frombuffer(raw, "<u4")))
-                    counts.append(len(plan))
-                each = np.array(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(np.repeat(np.array(sigs, np.int64), each))], names=["key", "id", "n", "sig"])
-
-    return docs.select("text").mapInArrow(run, "key long, id long, n int, sig long")
-
-
-def candidates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of ids of different lines that share a segment and pass the parity bounds."""
-    i = _keys(docs, False, edits, min_chars).select("key", F.col("id").alias("a"), F.col("n").alias("an"), F.col("sig").alias("asig"))
-    p = _keys(docs, True, edits, min_chars).select("key", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("sig").alias("bsig"))
-    differ = F.col("asig").bitwiseXOR(F.col("bsig"))
+        plans: dict[int, tuple] = {}
+        for _, texts in _slices(batches, 0):
+            lines = list({x for t in texts for x in t if edits_of(len(x), budgets)})
+            if not lines:
+                continue
+            raw = "".join(lines).encode("utf-32-le", "surrogatepass")
+            size = np.array([len(x) for x in lines], np.int64)
+            starts = np.cumsum(size) - size
+            keys, index, same, ends = [], [], [], [0]
+            for n, at in zip(size.tolist(), (4 * starts).tolist(), strict=True):
+                p = plans.get(n)
+                if p is None:
+                    wanted, i, s = plan(n, budgets)
+                    p = plans[n] = [(seed, 4 * a, 4 * b) for seed, a, b in wanted], i, s
+                keys += [xxhash.xxh3_64_intdigest(raw[at + a : at + b], seed) for seed, a, b in p[0]]
+                index.append(p[1])
+                same.append(p[2])
+                ends.append(len(keys))
+            ids = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
+            sig = parities(np.frombuffer(raw, "<u4"), starts).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(sig), pa.array(index, pa.int32()), pa.array(same, pa.int32()), lists, pa.array(cast.value[ids & np.uint64(mask)])], names=["id", "sig", "n_index", "n_same", "keys", "maybe"])
+
+    made = materialize(docs.select("text").mapInArrow(run, "id long, sig long, n_index int, n_same int, keys array<long>, maybe boolean"), "line-keys")
+    columns = ["id", "sig", "n_index", "n_same", "keys"]
+    again = made.where("maybe").groupBy("id").agg(*(F.first(c).alias(c) for c in columns[1:]))
+    return made.where("NOT maybe").select(columns).union(materialize(again, "line-keys-once"))
+
+
+def candidates(keyed: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of ids of different lines of line_keys() that share a segment and pass the parity bounds."""
+    i = keyed.select(F.explode(F.slice("keys", F.lit(1), F.col("n_index"))).alias("key"), F.col("id").alias("a"), F.col("sig").alias("x"))
+    p = keyed.select(F.posexplode("keys").alias("at", "key"), F.col("id").alias("b"), "sig", "n_same")
+    # the sign tells keys that look among lines of the same length
+    p = p.select("key", "b", F.when(F.col("at") < F.col("n_same"), F.col("sig").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("sig")).alias("y"))
+    differ = F.col("x").bitwiseXOR(F.col("y"))
     # an edit changes two characters and four pairs at most
-    near = (F.bit_count(differ.bitwiseAND(F.lit((1 << _CHAR_BITS) - 1))) <= 2 * edits) & (F.bit_count(F.shiftrightunsigned(differ, _CHAR_BITS)) <= 4 * edits)
-    order = ((F.col("an") < F.col("bn")) | (F.col("an") == F.col("bn")) & (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b"))
-    return i.join(p, (i["key"] == p["key"]) & near & order).select("a", "b").distinct()
+    near = (F.bit_count(differ.bitwiseAND(F.lit(_CHARS))) <= 2 * edits) & (F.bit_count(differ.bitwiseAND(F.lit(_PAIRS))) <= 4 * edits)
+    return i.join(p, (i["key"] == p["key"]) & near & ((F.col("y") >= 0) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of ids of different lines within `edits` edits, each once."""
-    pairs = materialize(candidates(docs, edits, min_chars), "line-candidates")
+def links(docs: DataFrame, found: DataFrame, budgets=BUDGETS) -> DataFrame:
+    """Pairs (a, b) of ids of different lines of docs(text) within their budget of edits, each once; found: occurrences()."""
+    pairs = materialize(candidates(line_keys(docs, found, budgets), max(e for _, e in budgets)), "line-candidates")
     need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # the filter has a fixed size; where most of it is set, texts go through the shuffle and the join decides
-    mask = (1 << FILTER_BITS) - 1
-    wanted = np.zeros(mask + 1, bool)
-    wanted[need.select(F.col("id").bitwiseAND(F.lit(mask)).cast("int").alias("i")).distinct().toArrow()["i"].to_numpy()] = True
-    cast = docs.sparkSession.sparkContext.broadcast(wanted)
+    cast, mask = docs.sparkSession.sparkContext.broadcast(_bits(need)), (1 << FILTER_BITS) - 1
 
     def texts(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                lines = {x for t in b.column(0).slice(k, 512).to_pylist() for x in lines_of(t) if len(x) >= min_chars}
-                found = {x: h for x in lines if cast.value[(h := xxhash.xxh3_64_intdigest(x)) & mask]}
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found.values()), np.uint64).view(np.int64)), pa.array(list(found), pa.string())], names=["id", "line"])
+        for _, texts in _slices(batches, 0):
+            lines = {x for t in texts for x in t if x}
+            some = {x: h for x in lines if cast.value[(h := xxhash.xxh3_64_intdigest(x)) & mask]}
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(some.values()), np.uint64).view(np.int64)), pa.array(list(some), pa.string())], names=["id", "line"])
 
     text = docs.select("text").mapInArrow(texts, "id long, line string").join(need, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
     text = materialize(text, "line-texts")
 
     def verify(batches):
         for b in batches:
-            keep = [edit_distance(x, y, edits) is not None for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            keep = [edit_distance(x, y, edits_of(min(len(x), len(y)), budgets)) is not None for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "line-links")
 
 
-def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, line_id, class_id, n_links, kept) of every line that is not blank in docs(doc_id, text).
+def near_lines(docs: DataFrame, budgets=BUDGETS) -> DataFrame:
+    """(doc_id, line_no, line_id, class_id, n_links, kept, row) of every line that is not blank in docs(doc_id, text).
 
     Lines are compared without the white space at their ends. line_id is the hash of the line, class_id
-    the smallest line_id that links reach, n_links the number of different lines within `edits` edits;
-    lines under min_chars characters have no links. kept is true for the first line of each class, by
-    doc_id and line number. Null text has no lines. Rows without doc_id come after all others. Rows that
-    repeat both doc_id and text are taken for one. Empty table: no rows. Other columns are ignored.
+    the smallest line_id that links reach, n_links the number of different lines within the budget of
+    edits for the shorter one's length. kept is true for the first line of each class, by doc_id, row and
+    line number. Null text has no lines. Rows without doc_id come after all others. row is a hash of
+    doc_id and text; rows that repeat both are taken for one. A very long line is a line like others.
+    Empty table: no rows. Other columns are ignored, whatever their names.
     """
+    docs = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
     found = materialize(occurrences(docs), "line-occurrences")
-    pairs = links(docs, edits, min_chars)
+    pairs = links(docs, found, budgets)
     degree = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = materialize(components(pairs, "line-components").join(degree, F.col("node") == F.col("id")).select("id", F.col("root").alias("class_id"), "n_links"), "line-classes")
-    rows = found.join(known, "id", "left").select("doc_id", "line_no", F.col("id").alias("line_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    rows = found.join(known, "id", "left").select("row", "doc_id", "line_no", F.col("id").alias("line_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line_no")
     rows = materialize(rows, "line-rows")
     # a table of its own: the join then has an exchange on either side, and a hot line's rows can be split
     first = materialize(rows.groupBy("class_id").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("class_id", "first"), "line-first")
     rows = rows.join(first, "class_id", "left")
-    return rows.select("doc_id", "line_no", "line_id", "class_id", "n_links", (F.col("first").isNull() | (place == F.col("first"))).alias("kept"))
+    return rows.select("doc_id", "line_no", "line_id", "class_id", "n_links", (F.col("first").isNull() | (place == F.col("first"))).alias("kept"), "row")
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, budgets=BUDGETS) -> DataFrame:
     """docs with text reduced to the lines that near_lines() keeps, and to its blank lines; other columns stay."""
-    gone = near_lines(docs, edits, min_chars).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when(~F.coalesce(F.array_contains("_gone", i), F.lit(False)), x)), lambda x: x.isNotNull())
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    row, gone = fresh(docs.columns, "row", "gone")
+    late = near_lines(docs, budgets).where(~F.col("kept")).groupBy(F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(late, row, "left").drop(row)
+    at = docs.columns.index("text")
+
+    def cut(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, _ROWS):
+                part, texts = b.slice(k, _ROWS), []
+                for text, numbers in zip(part.column(at).to_pylist(), part.column(len(docs_columns)).to_pylist(), strict=True):
+                    drop = set(numbers or ())
+                    texts.append("\n".join([x for j, x in enumerate(text.split("\n")) if j not in drop]) if drop else text)
+                yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if j == at else part.column(j) for j in range(len(docs_columns)))], names=docs_columns)
+
+    docs_columns = docs.columns
+    return rows.select(*docs_columns, gone).mapInArrow(cut, T.StructType(docs.schema.fields))

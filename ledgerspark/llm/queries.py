@@ -33,7 +33,7 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_edit.near_lines(table(spark, sf_dir, "documents"))
+    return line_edit.near_lines(table(spark, sf_dir, "documents")).drop("row")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

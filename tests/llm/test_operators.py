@@ -125,38 +125,6 @@ def test_tokens(spark, mixed, real):
     assert sorted(tuple(r) for r in got) == want
 
 
-def test_lines(spark):
-    random = Random(9)
-    base = ["".join(random.choice("abcdefgh ") for _ in range(random.randint(20, 45))).strip() or "x" for _ in range(25)]
-    lines = list(base)
-    for x in base:
-        for edits in (1, 2, 3):
-            y = list(x)
-            for _ in range(edits):
-                k = random.randrange(len(y))
-                random.choice([lambda: y.pop(k), lambda: y.insert(k, "z"), lambda: y.__setitem__(k, "q")])()  # noqa: B023
-            lines.append("".join(y).strip())
-    rows = [(k, "\n".join(random.sample(lines, 6) + ["", "short"]), "a") for k in range(40)] + [(90, None, None), (91, "", None), (None, lines[0], None)]
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    seen = {x.strip() for _, t, _ in rows for x in (t or "").split("\n") if x.strip()}
-    links = [(a, b) for a, b in combinations(sorted(seen), 2) if min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2]
-    ids = {x: line_edit.line_id(x) for x in seen}
-    root = roots(set(ids.values()), [(ids[a], ids[b]) for a, b in links])
-    n = Counter(x for link in links for x in link)
-    want = Counter((i, k, ids[x.strip()], root[ids[x.strip()]], n[x.strip()]) for i, t, _ in rows for k, x in enumerate((t or "").split("\n")) if x.strip())
-    got = line_edit.near_lines(docs_of(spark, rows)).collect()
-    assert Counter(tuple(r)[:5] for r in got) == want
-    assert Counter(r.class_id for r in got if r.kept) == Counter({c: 1 for c in {r.class_id for r in got}})
-
-
 def test_spans(spark):
     passage = "The first sentence of a passage has ten words in it. The second one follows with nine more words here. A third closes the whole matter for good."
     rows = [(1, f"Unique opening line number one stands here. {passage} And a tail.", "a"), (2, f"Another way to start. {passage}", "b"), (3, "Nothing shared at all in this little text.", None), (4, None, None), (5, "", "c"), (None, passage, "c")]
