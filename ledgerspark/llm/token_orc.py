@@ -88,9 +88,9 @@ class WordEncoder:
                 into.put(key, raw[4 * i : 4 * j])
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isalpha()]  # letters of ASCII are one part
+        plain = [w for w in words if w.isalpha() and w.islower()]  # lower-case letters of ASCII are one part
         self._learn_parts([w.decode() for w in plain], self.words, plain)
-        self._learn_mixed([w for w in words if not w.isalpha()])
+        self._learn_mixed([w for w in words if not (w.isalpha() and w.islower())])
 
     def _learn_mixed(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
