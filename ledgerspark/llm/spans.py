@@ -9,9 +9,11 @@ other one are removed.
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,30 +25,42 @@ MIN_SENTENCES, MIN_WORDS = 2, 16
 #: A single sentence of so many words is a span.
 LONE_WORDS = 50
 
-#: A sentence ends after closing punctuation that white space follows, or at a line's end; it keeps what follows it.
-SENTENCE = regex.compile(r"[^\n]*?(?:[.!?…。！？।॥؟۔]+[\"'”’)\]]*(?=\s|$)|$|(?=\n))\s*", regex.MULTILINE)
+#: A sentence ends after closing punctuation that white space follows, or at a line's end; it keeps what
+#: follows it. No run of marks is entered twice, so the time is linear in the text.
+_MARKS = ".!?…。！？।॥؟۔"
+SENTENCE_END = re.compile(rf"(?<![{_MARKS}])[{_MARKS}]++[\"'”’)\]]*+(?=\s|\Z)\s*+|\n\s*+")
 
 
 def sentences(text: str | None) -> list[str]:
     """The sentences of a text with the white space after each; joined they are the text."""
-    return [x for x in SENTENCE.findall(text or "") if x]
-
-
-def span_ends(words: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[int]:
-    """For each sentence, the end (exclusive) of the span that starts there, 0 if the text ends first."""
-    n = len(words)
-    total = np.concatenate([[0], np.cumsum(words)])
-    ends = np.searchsorted(total, total[:-1] + min_words)  # first end with enough words
-    ends = np.maximum(ends, np.arange(n) + min_sentences)
-    return np.where(ends <= n, ends, 0).tolist()
+    if not text:
+        return []
+    ends = [m.end() for m in SENTENCE_END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    return [text[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def span_ends(total: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[int]:
+    """For each sentence, the end (exclusive) of the span that starts there, 0 if the text ends first; total: words
+    before each sentence, and in all."""
+    out, end, n = [], 0, len(total) - 1
+    for j in range(n):
+        need = total[j] + min_words
+        end = max(end, j + min_sentences)
+        while end <= n and total[end] < need:
+            end += 1
+        out.append(end if end <= n else 0)
+    return out
 
 
 def span_ranges(words: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, lone_words: int = LONE_WORDS) -> list[tuple[int, int]]:
     """(start, end) of all spans of a text whose sentences have so many words, each once."""
-    n = len(words)
-    out = {(j, end) for j, end in enumerate(span_ends(words, min_sentences, min_words)) if end}
+    n, total = len(words), [0, *accumulate(words)]
+    out = {(j, end) for j, end in enumerate(span_ends(total, min_sentences, min_words)) if end}
     # the shortest that ends at a sentence is the shortest that starts there when read backwards
-    out |= {(n - end, n - j) for j, end in enumerate(span_ends(words[::-1], min_sentences, min_words)) if end}
+    back = [total[-1] - x for x in reversed(total)]
+    out |= {(n - end, n - j) for j, end in enumerate(span_ends(back, min_sentences, min_words)) if end}
     out |= {(j, j + 1) for j, size in enumerate(words) if size >= lone_words}
     return sorted(out)
 
@@ -60,14 +74,16 @@ def spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int =
                 part = b.slice(k, 256)
                 at, start, size, keys = [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    words = [s.encode().split() for s in sentences(text)]
-                    plain = [b" ".join(w) for w in words]
+                    words = [s.encode("utf-8", "surrogatepass").split() for s in sentences(text)]
+                    # all words with one blank after each; a span is a slice of it
+                    plain = [b" ".join([*w, b""]) for w in words]
+                    joined, place = b"".join(plain), [0, *accumulate(map(len, plain))]
                     for j, end in span_ranges([len(w) for w in words], min_sentences, min_words):
-                        if plain[j]:
+                        if words[j]:
                             at.append(i)
                             start.append(j)
                             size.append(end - j)
-                            keys.append(xxhash.xxh3_128_digest(b" ".join([p for p in plain[j:end] if p])))
+                            keys.append(xxhash.xxh3_128_digest(joined[place[j] : place[end]]))
                 if at:
                     at = pa.array(at)
                     yield pa.RecordBatch.from_arrays([part.column("row").take(at), part.column("doc_id").take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(keys, pa.binary())], names=["row", "doc_id", "start", "n", "key"])
