@@ -12,12 +12,14 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, shared_path
 
@@ -27,7 +29,10 @@ FRAME_BYTES = 1 << 20
 WARC_DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-INDEX = "page_id long, file string, frame int, frame_offset long, frame_size long, record_offset long, record_size long"
+#: Bytes of records that one task reads, about.
+TASK_BYTES = 32 << 20
+
+INDEX = "page_id {}, file string, frame int, frame_offset long, frame_size long, record_offset long, record_size long"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -47,14 +52,15 @@ def record(urn: str, url: str | None, payload: bytes, refers_to: str | None, dat
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page_id: int | None, digest: bytes, nth: int = 0) -> str:
-    """Page, start of the payload's SHA-256, and a number for repeated rows."""
-    return f"urn:page:{'null' if page_id is None else page_id}:{digest[:8].hex()}" + (f":{nth}" if nth else "")
+def record_id(page_id: int | str | None, digest: bytes, nth: int = 0) -> str:
+    """Page (text after an apostrophe), start of the payload's SHA-256, and a number for repeated rows."""
+    page = "null" if page_id is None else f"'{quote(page_id, safe='')}" if isinstance(page_id, str) else str(page_id)
+    return f"urn:page:{page}:{digest[:8].hex()}" + (f":{nth}" if nth else "")
 
 
-def page_of(urn: str) -> int | None:
+def page_of(urn: str) -> int | str | None:
     part = urn.strip("<>").split(":")[2]
-    return None if part == "null" else int(part)
+    return None if part == "null" else unquote(part[1:]) if part[0] == "'" else int(part)
 
 
 def parse(data: bytes, at: int = 0) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -150,14 +156,16 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
     smallest page_id is a response and the others revisit it. Null html: an empty payload. Null url: no
     target URI. Null page_id: last in order; a record of its own. Rows that repeat both page_id and html:
     the first is the response, the others revisit it and get a number in their record ids. Empty table: an
-    empty index. Other columns are ignored.
+    empty index. Other columns are ignored, whatever their names. page_id is an integer or text. A very
+    long html is a record like others and makes a frame of its own size.
 
     A task writes a file of a name of its own, and only files that the index names count: a task that
     runs twice leaves a file that nothing reads.
     """
     spark = pages.sparkSession
     root = shared_path(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    kind = "string" if isinstance(pages.schema["page_id"].dataType, T.StringType) else "long"
+    rows = pages.select(F.col("page_id").cast(kind).alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     slim = materialize(rows.where(F.length("payload") >= min_revisit_bytes).select("page_id", "digest"), "warc-digests")
     # a table of its own: the join then has an exchange on either side, and a hot payload's rows can be split
@@ -171,7 +179,7 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
         bundle, last, nth = Bundle(f"{root}/part-{uuid.uuid4().hex}.warc.zst", frame_bytes), None, 0
 
         def out(index):
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "file", "frame", "frame_offset", "frame_size", "record_offset", "record_size"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), (pa.string() if kind == "string" else pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "file", "frame", "frame_offset", "frame_size", "record_offset", "record_size"])
 
         for b in batches:
             index = []
@@ -188,33 +196,47 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
         if index:
             yield out(index)
 
-    return materialize(rows.select("page_id", "url", "payload", "digest", "_g", "first").mapInArrow(write, INDEX), "warc-index")
+    return materialize(rows.select("page_id", "url", "payload", "digest", "_g", "first").mapInArrow(write, INDEX.format(kind)), "warc-index")
 
 
-def read_warc(index: DataFrame) -> DataFrame:
+def read_warc(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Read all records of the bundles that index names, frame by frame in parallel.
 
-    Returns (page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to); the payload of
-    a revisit is null, its size and digest are those of the full payload. A response whose payload does
-    not have the recorded digest raises.
+    Frames are dealt out by file and place, about task_bytes of records to a task; a task takes each
+    file's seek table once. Returns (page_id, url, payload, payload_bytes, payload_digest, record_type,
+    refers_to); the payload of a revisit is null, its size and digest are those of the full payload. A
+    response whose payload does not have the recorded digest raises. Empty index: no rows.
     """
-    frames = index.select("file", "frame").distinct().repartition("file", "frame")
+    frames = index.groupBy("file", "frame").agg(F.sum("record_size").alias("bytes"))
+    # a number of its own, or adaptive execution would put these small rows into one task
+    tasks = max(1, -(-(index.agg(F.sum("record_size")).first()[0] or 0) // task_bytes))
+    frames = frames.repartitionByRange(tasks, "file", "frame").sortWithinPartitions("file", "frame").select("file", "frame")
+    kind = index.schema["page_id"].dataType.simpleString()
+    ids = pa.string() if kind == "string" else pa.int64()
 
     def read(batches):
-        for b in batches:
-            for uri, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                filesystem, path = pafs.FileSystem.from_uri(uri)
-                with filesystem.open_input_file(path) as f:
-                    data = read_frame(f, *seek_table(f)[frame])
-                rows = []
-                for _, h, block in parse(data):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    n = int(http.decode().rpartition("Content-Length: ")[2])
-                    digest, refers = h["WARC-Payload-Digest"].removeprefix("sha1:"), h.get("WARC-Refers-To")
-                    if refers is None and (len(payload) != n or payload_digest(payload) != digest):
-                        raise ValueError(f"{uri}, frame {frame}: {h['WARC-Record-ID']} is damaged")
-                    rows.append((page_of(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), None if refers else payload, n, digest, h["WARC-Type"], page_of(refers) if refers else None))
-                kinds = (pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return frames.mapInArrow(read, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        uri = file = table = None
+        try:
+            for b in batches:
+                for name, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if name != uri:
+                        if file is not None:
+                            file.close()
+                        filesystem, path = pafs.FileSystem.from_uri(name)
+                        uri, file = name, filesystem.open_input_file(path)
+                        table = seek_table(file)
+                    rows = []
+                    for _, h, block in parse(read_frame(file, *table[frame])):
+                        http, _, payload = block.partition(b"\r\n\r\n")
+                        n = int(http.decode().rpartition("Content-Length: ")[2])
+                        digest, refers = h["WARC-Payload-Digest"].removeprefix("sha1:"), h.get("WARC-Refers-To")
+                        if refers is None and (len(payload) != n or payload_digest(payload) != digest):
+                            raise ValueError(f"{uri}, frame {frame}: {h['WARC-Record-ID']} is damaged")
+                        rows.append((page_of(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), None if refers else payload, n, digest, h["WARC-Type"], page_of(refers) if refers else None))
+                    kinds = (ids, pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        finally:
+            if file is not None:
+                file.close()
+
+    return frames.mapInArrow(read, f"page_id {kind}, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
