@@ -50,9 +50,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 def quality_ratios(text: Column) -> dict[str, Column]:
     """Shares of printable and alphanumeric characters among those that are not white space, and their mean."""
-    solid = F.regexp_count(text, F.lit(r"(?U)\S"))
-    printable = F.regexp_count(text, F.lit(r"[^\p{C}\p{Z}]"))
-    alnum = F.regexp_count(text, F.lit(r"[\p{L}\p{N}]"))
+    # what is left of the text, as a length: counting matches would build an array of them
+    left = lambda without: F.length(F.regexp_replace(text, without, ""))
+    solid, printable, alnum = left(r"(?U)\s+"), left(r"[\p{C}\p{Z}]+"), left(r"[^\p{L}\p{N}]+")
     p = F.when(solid > 0, printable / solid).otherwise(0.0)
     a = F.when(solid > 0, alnum / solid).otherwise(0.0)
     return {"printable_ratio": p, "alphanumeric_ratio": a, "source_quality": F.round((p + a) / 2, 4)}

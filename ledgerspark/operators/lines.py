@@ -14,7 +14,7 @@ from ..functions.text import let, once
 
 # What marks a page, and what a reporting period looks like, in order of precedence.
 PAGE_MARK = r"(?:---\s*)?[Pp]age\s+(\d+)\s*(?:---)?"
-SHORT_PAGE_MARK = r"(?i)page\s*(\d+)"
+SHORT_PAGE_MARK = {"documented": r"(?i)page\s*(\d+)", "compat": r"[Pp]age\s*(\d+)"}
 MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 PERIODS = [
     r"\d{1,2}[-/]\w{3}[-/]\d{2,4}",
@@ -42,7 +42,7 @@ def page_lines(docs: DataFrame) -> DataFrame:
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, text): non-blank lines of docs(doc_id, text) with their numbers in the text, from 1."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("i", "raw"))
-    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), "raw", F.trim(F.col("raw")).alias("text")).where("trim(raw) <> ''")
+    return lines.select("doc_id", (F.col("i") + 1).alias("line_no"), "raw", strip(F.col("raw")).alias("text")).where("text <> ''")
 
 
 def page_mark(text: Column, mode: str = "documented") -> Column:
@@ -50,7 +50,7 @@ def page_mark(text: Column, mode: str = "documented") -> Column:
 
     In compat mode any line that mentions a page is a mark; in documented mode a short one.
     """
-    long, short = F.regexp_extract(text, PAGE_MARK, 1), F.regexp_extract(text, SHORT_PAGE_MARK, 1)
+    long, short = F.regexp_extract(text, PAGE_MARK, 1), F.regexp_extract(text, SHORT_PAGE_MARK[mode], 1)
     brief = F.length(text) < 20
     found = F.when((long != "") & (brief if mode == "documented" else F.lit(True)), long).when(brief & (short != ""), short)
     return found.cast("int")
@@ -65,9 +65,8 @@ def carry_pages(lines: DataFrame, mode: str = "documented") -> DataFrame:
 
 def parse_line(raw: Column) -> Column:
     """struct(label, values) of a line: tab columns, columns two spaces apart, or one number at the end."""
-    blank = lambda x: F.trim(x) != ""
-    tabs = F.transform(F.filter(F.split(raw, "\t"), blank), lambda x: F.trim(x))
-    wide = F.transform(F.filter(F.split(raw, r"\s{2,}"), blank), lambda x: F.trim(x))
+    parts = lambda by: F.filter(F.transform(F.split(raw, by), strip), lambda x: x != "")
+    tabs, wide = parts("\t"), parts(r"\s{2,}")
     # the numbers at the end start after the last part that is none
     last = F.array_max(F.transform(wide, lambda x, i: F.when(~looks_like_number(x), i + 1).otherwise(0)))
     empty = F.array().cast("array<string>")
@@ -77,8 +76,8 @@ def parse_line(raw: Column) -> Column:
     return (
         F.when(raw.contains("\t") & (F.size(tabs) >= 2), pair(F.get(tabs, F.lit(0)), F.slice(tabs, 2, F.greatest(F.size(tabs), F.lit(1)))))
         .when((F.size(wide) >= 2) & (last >= 1) & (last < F.size(wide)), pair(F.array_join(F.slice(wide, 1, F.greatest(last, F.lit(1))), " "), F.slice(wide, last + 1, F.greatest(F.size(wide), F.lit(1)))))
-        .when(value != "", pair(F.trim(single), F.array(F.trim(value))))
-        .otherwise(pair(F.trim(raw), empty))
+        .when(value != "", pair(strip(single), F.array(strip(value))))
+        .otherwise(pair(strip(raw), empty))
     )
 
 

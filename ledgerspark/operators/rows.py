@@ -104,10 +104,16 @@ def find_row(row_table: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
     return row_table.groupBy("doc_id").agg(*aggs)
 
 
+def two_periods(values: Column) -> tuple[Column, Column]:
+    """The current and the comparative value of a row with two or more, nulls for other rows; a schedule number in front goes."""
+    first = F.get(values, F.lit(0))
+    at = F.when((F.size(values) >= 3) & is_whole(first) & (F.abs(first) < 100), 1).otherwise(0)
+    some = F.size(values) >= at + 2
+    return F.when(some, F.get(values, at)), F.when(some, F.get(values, at + 1))
+
+
 def comparative_periods(row_table: DataFrame) -> DataFrame:
-    """(doc_id, row_no, label, current, comparative, source_text, page) of rows with two periods; a schedule number in front goes."""
-    first = F.get("values", F.lit(0))
-    schedule = (F.size("values") >= 3) & is_whole(first) & (F.abs(first) < 100)
-    v = F.when(schedule, F.slice("values", 2, F.greatest(F.size("values"), F.lit(1)))).otherwise(F.col("values"))
-    x = row_table.withColumn("_v", v).where("size(_v) >= 2")
-    return x.select("doc_id", "row_no", "label", F.get("_v", F.lit(0)).alias("current"), F.get("_v", F.lit(1)).alias("comparative"), "source_text", "page")
+    """(doc_id, row_no, label, current, comparative, source_text, page) of rows with two periods."""
+    current, comparative = two_periods(F.col("values"))
+    x = row_table.select("doc_id", "row_no", "label", current.alias("current"), comparative.alias("comparative"), "source_text", "page")
+    return x.where("comparative IS NOT NULL")
