@@ -6,9 +6,7 @@ from the tables alone, so it checks the whole way from text to result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import amount, currency, number_text, unit
@@ -18,24 +16,10 @@ from ..operators import invoice, lines, matching, rows, statements
 from ..sources import admission, store
 from . import render
 from .process import envelope, extract_text, process_documents
+from .registry import ORACLES, QUERIES, query
 from .render import table
 from .schema import TYPES, field_aliases, template
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _check(c) -> list:
     return [c["name"].alias("name"), c["calculated_value"].alias("calculated_value"), c["reported_value"].alias("reported_value"), c["variance"].alias("variance"), c["status"].alias("status")]
 
@@ -51,8 +35,8 @@ def line_split(spark, sf_dir):
     return lines.page_lines(table(spark, sf_dir, "documents"))
 
 
-@query("""SELECT doc_id, i + i // 5 AS line_no, (i - 1) // 5 + 1 AS page FROM (
-    SELECT doc_id, i + 0 AS i, trim(raw, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE t <> ''""".replace("i + i // 5", "i + (i - 1) // 5"))
+@query(f"""SELECT doc_id, i + (i - 1) // 5 AS line_no, (i - 1) // 5 + 1 AS page FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE regexp_matches(raw, '[^' || substr('{_BLANK}', 2))""")
 def page_carry_forward(spark, sf_dir):
     """A page mark is put below every fifth line."""
     marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 4, F.concat(x, F.lit("\nPage "), (F.floor(i / 5) + 2).cast("string"))).otherwise(x))
@@ -216,17 +200,17 @@ def cash_flow_checks(spark, sf_dir):
     return d.select("doc_id", F.explode(F.array(*made)).alias("c")).select("doc_id", *_check(F.col("c")))
 
 
-@query("""WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS o FROM events WHERE event_type IN ('purchase', 'view', 'click')),
-c AS (SELECT * FROM r WHERE o <= 4), n AS (SELECT user_id, sum(value) AS net, count(*) AS n FROM c WHERE o = 2 GROUP BY 1),
+@query("""WITH c AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS o FROM events WHERE event_type IN ('purchase', 'view', 'click')),
+n AS (SELECT user_id, sum(value) AS net, count(*) AS n FROM c WHERE o = 2 GROUP BY 1),
 t AS (SELECT a.user_id, a.value AS operating, b.value AS investing, f.value AS financing, row_number() OVER (PARTITION BY a.user_id ORDER BY a.o, b.o, f.o) AS r FROM c a JOIN c b ON a.user_id = b.user_id AND b.event_type = 'view' JOIN c f ON a.user_id = f.user_id AND f.event_type = 'click' JOIN n ON n.user_id = a.user_id WHERE a.event_type = 'purchase' AND n.n = 3 AND round(abs(a.value + b.value + f.value - net), 4) <= 0.05)
 SELECT user_id AS doc_id, operating, investing, financing FROM t WHERE r = 1""")
 def cash_flow_triple_search(spark, sf_dir):
-    """The second values of three kinds add up to the net change; the first triple that meets it is found."""
+    """The second values of three kinds add up to the net change; the first triple of all values that meets it is found."""
     from pyspark.sql import Window
 
     kind = F.create_map(*(F.lit(x) for kv in {"purchase": "operating_cash_flow", "view": "investing_cash_flow", "click": "financing_cash_flow"}.items() for x in kv))
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view", "click"))
-    c = e.withColumn("ord", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))).where("ord <= 4")
+    c = e.withColumn("ord", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id")))
     groups = c.select(F.col("user_id").alias("doc_id"), kind[F.col("event_type")].alias("kind"), "ord", "value", F.lit("").alias("source_text"), F.lit(1).alias("page"))
     net = groups.where("ord = 2").groupBy("doc_id").agg(F.sum("value").alias("net"), F.count("*").alias("n")).where("n = 3").select("doc_id", "net")
     none = net.select("doc_id", F.lit(0).alias("ord"), F.lit(0.0).alias("value"))
@@ -283,15 +267,11 @@ def text_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *(F.round(q[k], 6).alias(k) for k in ("printable_ratio", "alphanumeric_ratio")))
 
 
-@query()
-def confidence_report(spark, sf_dir):
-    docs = render.balance_sheets(spark, sf_dir)
-    return process_documents(docs).select("doc_id", "processing_status", "overall_status", "overall_confidence", F.transform("fields", lambda f: f["confidence"]).alias("confidence"))
-
-
 @query()
 def json_envelope(spark, sf_dir):
-    return envelope(process_documents(render.balance_sheets(spark, sf_dir)))
+    """All four kinds of document at once; ids repeat across them."""
+    docs = render.invoices(spark, sf_dir).unionByName(render.balance_sheets(spark, sf_dir)).unionByName(render.income_statements(spark, sf_dir)).unionByName(render.cash_flows(spark, sf_dir))
+    return envelope(process_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "document_type", "text")))
 
 
 @query("""WITH f AS (SELECT doc_id, ['pdf', 'jpg', 'png', 'exe', 'JPEG'][doc_id % 5 + 1] AS e, ['application/pdf', 'image/jpeg', '', 'text/plain', 'image/png', NULL, 'image/jpg'][doc_id % 7 + 1] AS m, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE n_chars * 1000 END AS n, doc_id % 5 AS p FROM documents),
@@ -338,3 +318,6 @@ def list_versions(spark, sf_dir):
 @query(f"SELECT p_partkey, {_label('p_name || chr(9) || p_brand')} AS label FROM part")
 def label_normalise(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", field_label(F.concat("p_name", F.lit("\t"), "p_brand")).alias("label"))
+
+
+from . import statement_queries  # noqa: E402, F401  registers its own

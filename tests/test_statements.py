@@ -1,0 +1,174 @@
+"""Statements in both readings, rows told apart, adjustments, files, the log, exports and the landing stream."""
+
+import time
+from itertools import product
+from random import Random
+
+import pytest
+from ledgerspark.functions.numbers import amount
+from ledgerspark.operators import checks, lines, matching, statements
+from ledgerspark.plans.process import extract_text, process_documents, read_documents, summary
+from ledgerspark.sources import store
+from ledgerspark.sources.admission import admit
+from ledgerspark.sources.files import read_files, read_texts
+from pyspark.sql import functions as F
+
+DOC = "doc_id string, document_type string, text string"
+SHEET = """Orchard Tools Limited
+Balance Sheet as at March 31, 2024
+Particulars  31-Mar-24  31-Mar-23
+ASSETS
+Fixed assets  410.20  398.00
+Borrowings given  12.00  11.00
+Total Assets  933.75  880.10
+--- Page 2 ---
+EQUITY AND LIABILITIES
+Total Equity  500.25  470.00
+Provisions  41.10  40.00
+Provisions  7.00  6.00
+Total Liabilities  433.50  410.10"""
+INCOME = """Statement of profit and loss
+Revenue from operations 2,400.00 2,100.00
+Other income 100.00 90.00
+Total income 2,500.00 2,190.00
+Total expenses 1,900.00 1,700.00
+Profit before tax 600.00 490.00
+Total tax expense 150.00 120.00
+Net profit for the year 450.00 370.00"""
+FLOW = """Cash flow statement
+Net cash generated from operating activities 310.00
+Net cash used in investing activities (120.00)
+Net cash used in financing activities (60.00)
+Effect of exchange differences 5.00
+Net increase in cash 135.00
+Opening cash 40.00
+Closing cash 275.00"""
+
+
+def numbers(row):
+    return {f.name: f.number for f in row.fields if f.number is not None}
+
+
+@pytest.mark.parametrize("mode", ["documented", "compat"])
+def test_three_statements(spark, mode):
+    docs = spark.createDataFrame([("s", "Balance Sheet", SHEET), ("i", "Profit and Loss", INCOME), ("f", "Cash Flow", FLOW)], DOC)
+    got = {r.doc_id: r for r in process_documents(docs, mode).collect()}
+    assert numbers(got["s"]) == {"total_assets": 933.75, "total_liabilities": 433.5, "total_equity": 500.25}
+    assert got["s"].overall_status == "PASS" and [(c.calculated_value, c.variance) for c in got["s"].checks] == [(933.75, 0.0)]
+    assert numbers(got["i"]) == {"revenue": 2400.0, "other_income": 100.0, "total_income": 2500.0, "total_expenses": 1900.0, "profit_before_tax": 600.0, "tax": 150.0, "net_profit": 450.0}
+    assert {c.name for c in got["i"].checks if c.status == "PASS"} == {"profit_before_tax_check", "net_profit_check"} and len(got["i"].checks) == 8
+    assert {(p.label, p.current, p.comparative) for p in got["i"].comparative_periods} >= {("Total income", 2500.0, 2190.0), ("Net profit for the year", 450.0, 370.0)}
+    flow = got["f"]
+    assert {c.name: (c.status, c.variance) for c in flow.checks} == {"net_cash_flow_check": ("PASS", 0.0), "cash_reconciliation_check": ("FAIL", 100.0)}
+    assert flow.processing_status == "FAILED" and flow.issues == ["cash_reconciliation_check: calculated 175.00, reported 275.00, variance 100.00"]
+    again = {r.doc_id: r for r in summary(process_documents(docs, mode)).collect()}
+    assert (again["i"].fields_matched, again["i"].fields_total, again["i"].extraction_rate) == (7, 20, "35%")
+    assert not again["f"].valid and again["f"].errors == ["cash_reconciliation_check"]
+
+
+def test_reader_in_both_modes(spark):
+    docs = spark.createDataFrame([("s", "Balance Sheet", SHEET), ("m", "memo", "x"), ("e", "Balance Sheet", "")], DOC)
+    cells = {(r.period, r.field): (r.value, r.page) for r in extract_text(docs).where("doc_id = 's' AND value IS NOT NULL").collect()}
+    assert cells["31-Mar-24", "total_assets"] == ("933.75", 1) and cells["31-Mar-23", "total_equity" if ("31-Mar-23", "total_equity") in cells else "shareholders_equity"] == ("470.00", 2)
+    assert cells["31-Mar-24", "provisions"] == ("41.10", 2)  # the first of two rows
+    compat = {r.period for r in extract_text(docs, mode="compat").where("doc_id = 's'").collect()}
+    assert "2024" in compat and {"31-Mar-24", "31-Mar-23"} <= compat
+    got = {r.doc_id: r for r in read_documents(docs).collect()}
+    assert got["m"].error.startswith("Unsupported document type: memo") and got["m"].metadata is None and got["m"].fields is None
+    assert got["s"].periods_detected == ["31-Mar-24", "31-Mar-23"] and got["s"].validation.valid and not got["s"].validation.warnings
+    assert got["e"].validation.warnings == ["no_periods"]
+    assert got["s"].metadata.fields_matched >= 4 and len(got["s"].line_items) == got["s"].metadata.total_line_items
+
+
+def test_page_marks_and_blank_lines(spark):
+    text = "one\nPAGE 7\ntwo\n\t\nPage 3 of the report that is long\nthree\npage 9\nfour"
+    numbered = lines.numbered_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    assert [r.line_no for r in numbered.orderBy("line_no").collect()] == [1, 2, 3, 5, 6, 7, 8]
+    pages = lambda mode: [(r.text, r.page) for r in lines.carry_pages(numbered, mode).orderBy("line_no").collect()]
+    assert pages("documented") == [("one", 1), ("two", 7), ("Page 3 of the report that is long", 7), ("three", 7), ("four", 9)]
+    assert pages("compat") == [("one", 1), ("PAGE 7", 1), ("two", 1), ("three", 3), ("four", 9)]
+    assert spark.range(1).select(amount(F.lit("(-12)"), "compat"), amount(F.lit("(-12)"))).first()[:] == (12.0, -12.0)
+
+
+def test_rows_are_told_apart(spark):
+    bill = "Invoice #: A-1\nSubtotal: $ 10.00\nTotal Amount: $ 10.00"
+    docs = spark.createDataFrame([("1", "Invoice", bill), ("1", "Balance Sheet", SHEET), (None, "Invoice", bill), ("2", "Invoice", bill), ("2", "Invoice", bill), (None, None, None)], DOC)
+    got = process_documents(docs).collect()
+    assert sorted((r.doc_id or "", r.document_type or "", r.error_code or "", r.processing_status) for r in got) == [("", "", "EXTRACTION_FAILED", "FAILED"), ("", "Invoice", "", "PASS"), ("1", "Balance Sheet", "", "PASS"), ("1", "Invoice", "", "PASS"), ("2", "Invoice", "", "PASS"), ("2", "Invoice", "", "PASS")]
+    assert {f.name for r in got if r.document_type == "Balance Sheet" for f in r.fields} == {"total_assets", "total_liabilities", "total_equity"}
+    assert process_documents(docs.where("false")).count() == 0
+
+
+def test_adjustments_and_items(spark):
+    kind = "struct<value:double,source_text:string,page:int>"
+    row = "array<struct<label:string,values:array<double>,source_text:string,page:int>>"
+    adj = "array<struct<label:string,value:double,source_text:string,page:int>>"
+    x = spark.sql(f"""SELECT from_json('[{{"label":"Net Effect","values":[1.0],"source_text":"a","page":2}},{{"label":"Effect of exchange","values":[2.0],"source_text":"b","page":3}},{{"label":"Other","values":[9.0],"source_text":"c","page":1}}]', '{row}') AS r,
+        from_json('[{{"label":"effect of EXCHANGE","value":2.0,"source_text":"b","page":3}},{{"label":"Cash and cash equivalents on amalgamation","value":4.0,"source_text":"d","page":1}}]', '{adj}') AS a, CAST(named_struct('value', 7.5D, 'source_text', 'near', 'page', 5) AS {kind}) AS p""")
+    got = x.select(statements.line_items(statements.patch_rows(F.col("r"), F.col("p")), F.col("a")).alias("i"), statements.patch_rows(F.col("r"), F.lit(None).cast(kind)).alias("same")).withColumn("v", checks.adjustment_values(F.col("i"))).first()
+    assert [(i.label, i["values"], i.source_text, i.page) for i in got.i] == [("Net Effect", [7.5], "near", 2), ("Effect of exchange", [2.0], "b", 3), ("Other", [9.0], "c", 1), ("Cash and cash equivalents on amalgamation", [4.0], "d", 1)]
+    assert got.v == [2.0, 4.0] and [i["values"] for i in got.same] == [[1.0], [2.0], [9.0]]
+
+
+def test_adjustments_against_all_subsets(spark):
+    random, cases = Random(8), []
+    for _ in range(120):
+        n = random.randint(0, 9)
+        values = [round(random.choice([random.uniform(-50, 50), float(random.randint(-3, 3))]), 2) for _ in range(n)]
+        base = round(random.uniform(-10, 10), 2)
+        net = round(base + sum(v for v in values if random.random() < 0.5) + random.choice([0.0, 0.04, 0.2, 7.3]), 2)
+        cases.append((base, net, values))
+    cases.append((0.0, 18.0, [-1.0 - k for k in range(17)] + [18.0]))  # seventeen that miss and a last that fits
+    cases.append((0.0, 0.37, [1000.0 * 3**k for k in range(24)] + [0.37]))
+
+    def brute(base, net, values):
+        if len(values) > 12:
+            return values[-1]
+        for bits in product((0, 1), repeat=len(values)):
+            total = round(sum(v for v, b in zip(values, bits[::-1], strict=True) if b), 2)
+            if round(abs(base + total - net), 4) <= 0.05:
+                return total
+        return 0.0
+
+    x = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, b double, n double, a array<double>")
+    got = [r[0] for r in x.orderBy("i").select(checks.matching_adjustment(F.col("b"), F.col("n"), F.col("a"))).collect()]
+    assert got == [pytest.approx(brute(*c)) for c in cases]
+
+
+def test_value_above_its_label(spark):
+    text = "61.00\nNet cash from operating activities\nNotes to the statement\nNet cash used in investing activities (20.00)\nNet cash used in financing activities (10.00)\nNet increase in cash 31.00"
+    got = statements.cash_flow(lines.page_lines(spark.createDataFrame([(1, text)], "doc_id int, text string"))).first()
+    assert (got.operating_cash_flow.value, got.investing_cash_flow.value, got.net_change_in_cash.value) == (61.0, -20.0, 31.0)
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-small")
+    (tmp_path / "b.PNG").write_bytes(b"p")
+    (tmp_path / "c.pdf").write_bytes(b"x" * (10 * 1024 * 1024 + 1))
+    (tmp_path / "d.exe").write_bytes(b"x")
+    files = read_files(spark, f"file://{tmp_path}")
+    got = {r.file_name: r for r in admit(files.withColumn("page_count", F.lit(None).cast("int"))).collect()}
+    assert {n: (r.error_code, r.reader, r.content is None) for n, r in got.items()} == {"a.pdf": (None, "pdf", False), "b.PNG": (None, "image", False), "c.pdf": ("INVALID_FILE_ERROR", "pdf", True), "d.exe": ("UNSUPPORTED_FILE_TYPE", None, False)}
+    assert "10 MB" in got["c.pdf"].error_message
+    read = admit(spark.createDataFrame([("x.pdf", None, 5, None, "no trailer"), ("y.pdf", None, 5, 2, None), ("z.pdf", None, 5, None, None)], "file_name string, content_type string, length long, page_count int, decode_error string")).collect()
+    assert [(r.is_readable, r.status) for r in read] == [(False, "FAILED"), (True, "PASS"), (None, "PASS")]
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/one.txt").write_text("two\nlines")
+    assert [tuple(r) for r in read_texts(spark, f"file://{tmp_path}/t").collect()] == [("one.txt", "two\nlines")]
+
+
+def test_log_and_exports(spark, tmp_path):
+    store.create_log(spark, "results_log", f"file://{tmp_path}/log")
+    store.create_log(spark, "results_log", f"file://{tmp_path}/log")
+    rows = [("a", "Invoice", "PASS", 0.5, '{"v":1}', 1, 1), ("a", "Invoice", "FAILED", 0.7, '{"v":2}', 2, 2), ("b", "Memo", "PASS", 0.1, "{}", 1, 3)]
+    made = spark.createDataFrame(rows, "document_name string, document_type string, processing_status string, confidence double, result_json string, t int, seq long").withColumn("updated_at", F.timestamp_seconds("t")).drop("t")
+    store.append(made, f"file://{tmp_path}/log")
+    assert [r.document_name for r in store.list_documents(spark, f"file://{tmp_path}/log").collect()] == ["a", "b"]
+    assert store.get_latest(spark, f"file://{tmp_path}/log", "a").first().result_json == '{"v":2}'
+    assert sorted((r.document_name, r.seq, r.version) for r in store.numbered(made).collect()) == [("a", 1, 1), ("a", 2, 2), ("b", 3, 1)]
+    store.write_json(made, f"file://{tmp_path}/json")
+    assert sorted(r.value for r in spark.read.text(f"file://{tmp_path}/json").collect()) == ['{"v":1}', '{"v":2}', "{}"]
+    cells = spark.createDataFrame([("d", "x", "P1", "5"), ("d", "x", "P2", None), ("d", "y", "P1", None), ("d", "y", "P2", "7")], "doc_id string, field string, period string, value string")
+    store.write_csv(matching.period_table(cells, ["P1", "P2"]), f"file://{tmp_path}/csv")
+    assert sorted(tuple(r) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/csv").collect()) == [("d", "x", "5", None), ("d", "y", None, "7")]
+    spark.sql("DROP TABLE results_log")
