@@ -1,27 +1,30 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-A word that holds look-alike characters, runs of one letter, or single letters set apart is decoded, and so
-is any other without a score: each character may stand for itself, for the letters it resembles, or for nothing; the Viterbi path that a
-character trigram model of the corpus and the channel like best is the restored word. A restored word's
-score is the share of toxic documents among those that hold it, backed off over its beginnings; a
-document has the score of its worst word.
+Names (words and beginnings of words that speak for toxicity) are learned from labelled texts. A text is
+reduced to a skeleton in which look-alike characters share a class, repeats are one, and blanks and
+punctuation are gone; where a name's skeleton begins at a beginning of a word, the characters there form a
+lattice: each may stand for itself, for the letters it resembles, for nothing (punctuation, blanks,
+repeats) or for the end of a word. The Viterbi path that a character trigram model of the corpus and the
+channel like best is the restored text. A document's score puts the shares of all names together that
+stand in what was restored.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialize
+from .common import Recent, held_out, materialize
 from .linear import labelled_sample, training_rows
 
 # The letters that the language model tells apart, and what characters resemble.
@@ -29,30 +32,36 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóô
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "µ": "u", "*": "aeiou", "#": "h", "%": "x"}
 #: Cyrillic, Greek and other letters drawn like Latin ones.
 HOMOGLYPHS = dict(zip("абвгеікмнорсѕтухјԁԛԝһαβεικνορτυχıɡɑ", "abbreikmhopcstyxjdqwhabeikvoptuxiga", strict=True))
+#: Punctuation before and after words, and what may stand inside a word for nothing.
+HEADS, TAILS = ".,;:?'\"([<", ".,;:?!'\")]>"
 NOISE = ".,-_*'`~^:;/\\#"
-#: Natural log probabilities of the channel: a look-alike, a dropped character, a repeated letter.
-LOOK, DROP, REPEAT = math.log(0.05), math.log(0.02), math.log(0.03)
+#: Letters that one character may stand for share a class of the skeleton; "*" adds the vowels to these.
+ALIKE, VOWELS = ("il", "gb"), "aeiou"
+#: Natural log probabilities of the channel: a look-alike, a dropped character, a repeated letter, a blank
+#: inside a word, a mark that ends a word.
+LOOK, DROP, REPEAT, BLANK, MARK = (math.log(x) for x in (0.05, 0.02, 0.03, 0.02, 0.5))
 OTHER, EDGE = len(LETTERS), len(LETTERS) + 1
 ALPHABET = len(LETTERS) + 2
+#: Stands in a path's text where a blank inside a word went.
+JOINED = "\u200b"
 
-#: Labelled rows of each class that the model is fitted on, at most, and the beginnings and words it starts from.
+#: Labelled rows of each class that the model is fitted on, at most; names come from these rows alone.
 MOST_ROWS = 10_000
-MOST_FEATURES = 5_000
-#: Least evidence that a feature speaks for toxicity, as twice a log likelihood ratio.
+#: Least evidence that a name speaks for toxicity, as twice a log likelihood ratio.
 EVIDENCE = 20.0
+#: Least share of toxic documents among those that hold a name. With many labelled rows even a slight
+#: leaning is evidence; a name is a sign only if most of its documents are toxic.
+SHARE = 0.5
 #: How many documents a beginning's share counts for beside a word's own.
 STRENGTH = 3.0
 PREFIXES = (3, 4, 5, 6)
-WORDS_KEPT = 500_000
+#: Bytes of restored regions that a worker remembers at most.
+REGIONS_BYTES = 16 << 20
 
-_TAIL = regex.compile(r"(?:([*#$%&!?.,;:|'\"\)\]>])\1+|[.,;:?!'\"\)\]>])+$")
-_HEAD = regex.compile(r"^(?:([*#$%&!?.,;:|'\"\(\[<])\1+|[.,;:?'\"\(\[<])+")
-_SPACED = regex.compile(r"(?:(?<=\s)|^)\S(?:[ \t]+\S){2,}(?=\s|$)")
-_ODD = regex.compile(r"(\p{L})\1\1|[^\p{L}]")
-
-
-#: Most letters that are read from each start in a run of single characters; scores look at fewer.
-SPELLED = 24
+_PUNCTUATION = "*#$%&!?.,;:|'\"()[]<>"
+_GAPS = re.compile(r"\s+|([^\w\s])\1+")
+_RUNS = re.compile(r"(\w)\1\1\1+")
+_STARRED = re.compile(r"[^\s*#][*#]+[^\s*#]").search
 
 
 @lru_cache(maxsize=1 << 16)
@@ -78,6 +87,43 @@ def _codes() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=2)
+def _classes(starred: bool) -> np.ndarray:
+    """By code point: its class in the skeleton, 0 for what the skeleton leaves out. starred: "*" is a vowel and "#" an h."""
+    group = {x: x for x in "abcdefghijklmnopqrstuvwxyz"}
+    for some in (*ALIKE, VOWELS + "l") if starred else ALIKE:
+        group |= {x: some[0] for x in some}
+    number = {x: ord(group[x]) - 96 for x in group}
+    out = np.where(_codes() == EDGE, 0, 40).astype(np.uint8)
+    for c in np.flatnonzero(out).tolist():
+        base = HOMOGLYPHS.get(chr(c)) or unicodedata.normalize("NFKD", chr(c))[:1]
+        out[c] = number.get(base, 40)
+    for x, letters in LOOKALIKES.items():
+        if x not in "*#" or starred:
+            out[ord(x)] = number[letters[0]]
+    return out
+
+
+def skeleton(text: str, starred: bool = False) -> tuple[str, np.ndarray, np.ndarray]:
+    """The skeleton of a text in lower case; for each of its characters the last place in the text at which
+    its run begins a word (-1 if none does), and the first place of the run."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    classes = _classes(starred)[codes]
+    at = np.flatnonzero(classes)
+    if not len(at):
+        return "", at, at
+    kept = classes[at]
+    new = np.ones(len(at), bool)
+    new[1:] = kept[1:] != kept[:-1]
+    run = np.cumsum(new) - 1
+    begins = np.ones(len(at), bool)  # no letter stands before
+    begins[at > 0] = _codes()[codes[at[at > 0] - 1]] == EDGE
+    starts = np.full(int(run[-1]) + 1, -1, np.int64)
+    some = np.flatnonzero(begins)
+    starts[run[some]] = at[some]  # of several the last
+    return kept[new].tobytes().decode("latin-1"), starts, at[new]
+
+
 def letter_counts(docs: DataFrame) -> np.ndarray:
     """Counts of all letter trigrams of docs(text), over all documents; the table has ALPHABET**3 cells, whatever the corpus."""
 
@@ -107,104 +153,154 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return np.log((tri + 5 * p2[None]) / (tri.sum(2, keepdims=True) + 5))
 
 
-def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest letters behind an obfuscated word in lower case."""
+def ends_of(text: str) -> list[float | None]:
+    """By character: what it costs if it ends a word, None if it cannot.
+
+    Blanks do. So do marks that resemble no letter, and others where they stand doubled, or as plain
+    punctuation, around a word. Letters and digits do not.
+    """
+    out = [0.0 if x.isspace() else None if x.isalnum() or choices_of(x) else MARK for x in text]
+    n = len(text)
+    for order, plain in ((range(n), HEADS), (range(n - 1, -1, -1), TAILS)):
+        outside = True
+        for k in order:
+            x = text[k]
+            if out[k] is None and outside and not x.isalnum() and (x in plain or x in (text[k - 1 : k], text[k + 1 : k + 2])):
+                out[k] = MARK
+            outside = x.isspace() or outside and out[k] is not None
+    return out
+
+
+def decode(text: str, model: np.ndarray) -> tuple[float, str]:
+    """(log probability, restored text) of the likeliest path through a text's lattice, blanks as one blank.
+
+    Words stand apart by one blank; JOINED marks where a blank inside a word went.
+    """
     # states: the last two letters; each holds (log probability, text)
     states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-    for k, x in enumerate(word):
+    for k, (x, ends) in enumerate(zip(text, ends_of(text), strict=True)):
         choices = choices_of(x)
-        same = k > 0 and word[k - 1] == x
+        same = k > 0 and text[k - 1] == x
+        # what it costs if the character stands for nothing
+        nothing = REPEAT if same and not x.isspace() else BLANK if x.isspace() else DROP if x in NOISE else None
         new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (p, text) in states.items():
+        for (a, b), (p, t) in states.items():
             for y, c, cost in choices:
                 q = p + cost + model[a, b, c]
                 if (b, c) not in new or q > new[b, c][0]:
-                    new[b, c] = q, text + y
-            if x in NOISE or not choices or same:
-                q = p + (REPEAT if same else DROP)
+                    new[b, c] = q, t + y
+            if nothing is not None and b != EDGE:
+                q = p + nothing
                 if (a, b) not in new or q > new[a, b][0]:
-                    new[a, b] = q, text
+                    new[a, b] = q, t + JOINED if x.isspace() else t
+            if ends is not None:
+                q, end = (p + ends, (a, b)) if b == EDGE else (p + ends + model[a, b, EDGE], (b, EDGE))
+                if end not in new or q > new[end][0]:
+                    new[end] = q, t if b == EDGE else t + " "
         states = new
-    return max((p + model[a, b, EDGE], text) for (a, b), (p, text) in states.items())[1]
+    return max((p if b == EDGE else p + model[a, b, EDGE], t.strip(" " + JOINED)) for (a, b), (p, t) in states.items())
+
+
+def beginnings(core: str) -> list[str]:
+    """The names of a word's beginnings, shortest first, and of the word itself."""
+    return [*(f"^{core[:n]}" for n in PREFIXES if len(core) >= n), core] if core else []
 
 
 class Restorer:
-    """Restores words and scores them; scores are remembered by word."""
-
-    def __init__(self, model: np.ndarray, shares: dict[str, float] | None = None, counts: dict[str, tuple[float, float]] | None = None, kept: int = WORDS_KEPT):
-        self.model, self.shares, self.counts, self.kept = model, shares or {}, counts or {}, kept
-        self.known: dict[str, tuple] = {}
-        self.plain: set[str] = set()  # words without a score
-
-    def restore(self, word: str) -> str:
-        """word in lower case without punctuation around it, decoded if it looks obfuscated."""
-        core = _HEAD.sub("", _TAIL.sub("", word))
-        if not core or core.isalpha() and not _ODD.search(core):
-            return core
-        letters = sum(map(str.isalpha, core))
-        if not letters or 3 * letters < len(core):
-            return core  # numbers, rules of punctuation
-        return decode(core, self.model)
-
-    def guess(self, word: str) -> str:
-        """What model and channel read in a word of any look, also with its punctuation; nothing for numbers."""
-        for core in (_HEAD.sub("", _TAIL.sub("", word)), word.rstrip(".,;:?\"')]")):
-            if core and not core.isdigit():
-                got = decode(core, self.model)
-                if any(x in self.shares for x in beginnings(got)):
-                    return got
-        return ""
-
-    def features(self, word: str) -> tuple:
-        """A word's score if it or a beginning of it is a sign of toxicity, as a tuple; else nothing.
-
-        The share of toxic documents comes from the longest such name, and then from the word itself.
-        """
-        core = self.restore(word)
-        names = [x for x in beginnings(core) if x in self.shares]
-        if not names and self.shares:
-            core = self.guess(word)
-            names = [x for x in beginnings(core) if x in self.shares]
-        if not names:
-            return ()
-        p = self.shares[names[-1]]
-        if names[-1] != core and core in self.counts:
-            pos, neg = self.counts[core]
-            p = (pos + STRENGTH * p) / (pos + neg + STRENGTH)
-        return (p,)
-
-    def words(self, text: str | None) -> set[str]:
-        """A text's words in lower case, and words spelled out in single characters, from each of these on."""
-        low = (text or "").lower()
-        words = set(low.split())
-        for m in _SPACED.finditer(low):
-            run = "".join(m.group().split())
-            words.update([run[k : k + SPELLED] for k in range(len(run) - 2)])
-        return words
-
-    def worst(self, text: str | None) -> float | None:
-        """The highest score of a word of the text, None if no word has one."""
-        most = None
-        for w in self.words(text) - self.plain:
-            f = self.known.get(w)
-            if f is None:
-                f = self.features(w)
-                if not f:
-                    if len(self.plain) >= self.kept:
-                        self.plain.clear()
-                    self.plain.add(w)
-                    continue
-                if len(self.known) >= self.kept:
-                    self.known.clear()
-                self.known[w] = f
-            if most is None or f[0] > most:
-                most = f[0]
-        return most
+    """Finds names in texts, however they are written.
 
+    shares: of the documents that hold a name, those that are toxic. counts: (toxic, other) documents of
+    words that begin with a name and stand in others too; they refine the share.
+    """
 
-def beginnings(core: str) -> list[str]:
-    """The names of a restored word's beginnings, shortest first, and of the word itself."""
-    return [*(f"^{core[:n]}" for n in PREFIXES if len(core) >= n), core] if core else []
+    def __init__(self, model: np.ndarray, shares: dict[str, float] | None = None, counts: dict[str, tuple[float, float]] | None = None):
+        self.model, self.shares, self.counts = model, shares or {}, counts or {}
+        self.restored = Recent(REGIONS_BYTES)
+        self.longest = max(map(len, self.shares), default=0) + 32
+        self.finders = []
+        for starred in (False, True):
+            finder = ahocorasick.Automaton()
+            for name in self.shares:
+                bones = skeleton(name.removeprefix("^"), starred)[0]
+                if bones:
+                    finder.add_word(bones, len(bones))
+            if len(finder):
+                finder.make_automaton()
+                self.finders.append((starred, finder))
+
+    def regions(self, low: str) -> set[str]:
+        """The stretches of a text in lower case that may hold a name: from where its skeleton begins a word
+        to the end of the word in which it ends; runs of blanks, of one mark, and of one letter beyond three cut short."""
+        out = set()
+        for starred, finder in self.finders:
+            if starred and not _STARRED(low):
+                continue
+            bones, starts, firsts = skeleton(low, starred)
+            for end, size in finder.iter(bones):
+                start = int(starts[end - size + 1])
+                if start >= 0:
+                    last = int(firsts[end])
+                    if last < start:
+                        last = start
+                    part = _RUNS.sub(r"\1\1\1", _GAPS.sub(lambda m: m.group(1) or " ", low[start : last + 1]))
+                    word = low[last + 1 : last + 1 + 4 * self.longest].split(None, 1)
+                    tail = word[0] if word and not low[last + 1].isspace() else ""
+                    out.add(part + _RUNS.sub(r"\1\1\1", tail)[: self.longest])
+        return out
+
+    def name_of(self, word: str, joined: bool = False) -> str | None:
+        """The longest name that a word begins with; where a blank inside it went, only a name that is all of it."""
+        if joined:
+            return next((x for x in (word, f"^{word}") if x in self.shares), None)
+        return next((x for x in reversed(beginnings(word)) if x in self.shares), None)
+
+    def names(self, region: str) -> list[tuple[str, str]]:
+        """(name, restored word) of each name in a region: as it is written, or else in what decode() reads there."""
+        plain = region.strip(_PUNCTUATION)
+        if plain.isalpha():
+            name = self.name_of(plain)
+            if name:
+                return [(name, plain)]
+        out = []
+        for word in decode(region, self.model)[1].split(" "):
+            core = word.replace(JOINED, "")
+            name = self.name_of(core, JOINED in word)
+            if name:
+                out.append((name, core))
+        return out
+
+    def share(self, name: str, word: str) -> float:
+        """The share of toxic documents for a word that begins with a name."""
+        p = self.shares[name]
+        if name != word and word in self.counts:
+            pos, neg = self.counts[word]
+            p = (pos + STRENGTH * p) / (pos + neg + STRENGTH)
+        return p
+
+    def found(self, text: str | None) -> dict[str, tuple[float, str]]:
+        """By name without its mark: (share, restored word) of all names in a text, the highest share of each."""
+        out: dict[str, tuple[float, str]] = {}
+        regions = self.regions((text or "").lower())
+        for x in self.restored.unknown(regions):
+            self.restored.put(x, self.names(x))
+        for x in regions:
+            for name, word in self.restored.now[x]:
+                got, root = (self.share(name, word), word), name.removeprefix("^")
+                if root not in out or got > out[root]:
+                    out[root] = got
+        return out
+
+
+def together(plain: float, shares: list[float]) -> float:
+    """The score of a text that holds names of such shares: 1 less the product of what each leaves clean.
+
+    plain is the share of toxic texts among those without a name; one name alone gives its own share,
+    and a share below plain adds nothing.
+    """
+    clean = 1 - plain
+    for p in sorted(shares):
+        clean *= min(1.0, (1 - p) / (1 - plain))
+    return 1 - clean
 
 
 def root_shares(counts: dict[str, tuple[float, float]], base: float) -> dict[str, float]:
@@ -213,12 +309,16 @@ def root_shares(counts: dict[str, tuple[float, float]], base: float) -> dict[str
     What the longer name of most toxic documents accounts for is taken off: "lose" is no sign because
     "loser" is one.
     """
+    under: dict[str, list] = {}
+    for x, c in counts.items():
+        for name in beginnings(x.removeprefix("^"))[:-1]:
+            if name != x:
+                under.setdefault(name, []).append(c)
     out = {}
     for name, (pos, neg) in counts.items():
         p = (pos + STRENGTH * base) / (pos + neg + STRENGTH)
-        under = [c for x, c in counts.items() if x != name and name.startswith("^") and f"^{x.removeprefix('^')}".startswith(name)]
-        if under:
-            most = max(under)
+        if name in under:
+            most = max(under[name])
             left = max(0.0, pos - most[0]), max(0.0, neg - most[1])
             p = (left[0] + STRENGTH * p) / (left[0] + left[1] + STRENGTH)
         out[name] = p
@@ -233,16 +333,21 @@ def evidence(p: float, q: float, pos: int, neg: int) -> float:
     return 2 * (part(p, pos) + part(q, neg))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_features: int = MOST_FEATURES) -> dict:
-    """The language model from all of docs, and words' shares from at most most_rows labelled rows of each
+def _words(text: str | None) -> set[str]:
+    """A text's words in lower case, without punctuation around them."""
+    return {w.strip(_PUNCTUATION) for w in (text or "").lower().split()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> dict:
+    """The language model from all of docs, and names' shares from at most most_rows labelled rows of each
     class that are not held out.
 
-    Words and beginnings are counted by document and class where the rows are. The most_features with the
-    most evidence for toxicity, and the counts of words that begin with one of them, reach the driver.
+    Words and beginnings are counted by document and class where the rows are. All names with enough
+    evidence, and the counts of words in texts of both classes that begin with one, reach the driver:
+    what a sample of bounded rows can hold.
     """
     model = language_model(letter_counts(docs))
     sample = materialize(labelled_sample(docs, labels, "toxic", most_rows), "toxicity-sample")
-    cast = docs.sparkSession.sparkContext.broadcast(model)
     size = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = size.get(1, 0), size.get(0, 0)
     whole = {r.label: r.n for r in training_rows(labels, "toxic").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -253,10 +358,13 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
     heavy = whole[1] / pos, whole[0] / neg
 
     def count(batches):
-        restorer, counts = Restorer(cast.value), (Counter(), Counter())
+        counts = Counter(), Counter()
         for b in batches:
             for t, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                counts[y].update({x for w in restorer.words(t) for x in beginnings(restorer.restore(w))})
+                words = _words(t) - {""}
+                counts[y].update(words)
+                for k in PREFIXES:
+                    counts[y].update({f"^{w[:k]}" for w in words if len(w) >= k})
         names = list(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][x] for x in names], pa.int64()), pa.array([counts[0][x] for x in names], pa.int64())], names=["name", "pos", "neg"])
 
@@ -266,16 +374,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
     part = lambda x, size: F.when(x > 0, x * F.log(x * (pos + neg) / (n * size))).otherwise(0.0)
     weight = F.when(F.col("pos") * neg > F.col("neg") * pos, 2 * (part(F.col("pos"), pos) + part(F.col("neg"), neg))).otherwise(0.0)
     seen = materialize(seen.withColumn("weight", weight), "toxicity-names")
-    best = seen.where(F.col("weight") >= EVIDENCE).orderBy(F.desc("weight"), "name").limit(most_features).collect()
+    n = F.col("pos") * heavy[0] + F.col("neg") * heavy[1] + STRENGTH
+    best = seen.where((F.col("weight") >= EVIDENCE) & ((F.col("pos") * heavy[0] + STRENGTH * base) / n >= SHARE)).orderBy("name").collect()
     numbers = docs.sparkSession.sparkContext.broadcast({r.name: i for i, r in enumerate(best)})
 
     def contexts(batches):
-        restorer, number, found = Restorer(cast.value), numbers.value, set()
+        number, found = numbers.value, set()
         for b in batches:
             for t in b.column("text").to_pylist():
                 words = ["", *(t or "").lower().split(), ""]
                 for k in range(1, len(words) - 1):
-                    for x in beginnings(restorer.restore(words[k])):
+                    for x in beginnings(words[k].strip(_PUNCTUATION)):
                         if x in number:
                             found.add((number[x], xxhash.xxh3_64_intdigest(" ".join(words[k - 1 : k + 2])) >> 1))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int64())], names=["i", "context"])
@@ -284,47 +393,53 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_fea
     around = sample.where("label = 1").select("text").mapInArrow(contexts, "i int, context long").distinct().groupBy("i").agg(F.count("*").alias("n")).collect()
     alone = {r.i: r.n for r in around}
     chosen = [i for i, r in enumerate(best) if evidence(min(r.pos, alone.get(i, 0)), r.neg, pos, neg) >= EVIDENCE]
-    roots = docs.sparkSession.createDataFrame([(best[i].name,) for i in chosen], "name string")
-    # words that begin with one of those names: their own counts refine the share
-    whole_words = seen.where(~F.col("name").startswith("^"))
-    longer = whole_words.withColumn("root", F.explode(F.array(*(F.concat(F.lit("^"), F.substring("name", 1, k)) for k in PREFIXES))))
-    below = longer.join(F.broadcast(roots.withColumnRenamed("name", "root")), "root", "left_semi").select("name", "pos", "neg").distinct().collect()
     shares = root_shares({best[i].name: (best[i].pos * heavy[0], best[i].neg * heavy[1]) for i in chosen}, base)
-    words = {r.name: (r.pos * heavy[0], r.neg * heavy[1]) for r in below}
-    out = {"lm": model, "shares": shares, "words": words}
+    shares = {x: p for x, p in shares.items() if p >= SHARE}
+    roots = docs.sparkSession.createDataFrame([(x,) for x in sorted(shares)], "name string")
+    # words that begin with one of those names, where other texts hold them too
+    some = seen.where(~F.col("name").startswith("^") & (F.col("neg") > 0))
+    longer = some.withColumn("root", F.explode(F.array(*(F.concat(F.lit("^"), F.substring("name", 1, k)) for k in PREFIXES))))
+    below = longer.join(roots.withColumnRenamed("name", "root"), "root", "left_semi").select("name", "pos", "neg").distinct().collect()
+    out = {"lm": model, "shares": shares, "words": {r.name: (r.pos * heavy[0], r.neg * heavy[1]) for r in below}}
     tell = docs.sparkSession.sparkContext.broadcast(out)
 
     def unknown(batches):
         restorer = Restorer(tell.value["lm"], tell.value["shares"], tell.value["words"])
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([restorer.worst(t) is None for t in b.column("text").to_pylist()])], names=["label", "none"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([not restorer.found(t) for t in b.column("text").to_pylist()], pa.bool_())], names=["label", "none"])
 
     left = {r.label: r.n for r in sample.select("label", "text").mapInArrow(unknown, "label int, none boolean").where("none").groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, q = left.get(1, 0) * heavy[0], left.get(0, 0) * heavy[1]
-    out["plain"] = (p + 0.5) / (p + q + 1)  # the share of toxic texts among those without a known word
+    out["plain"] = (p + 0.5) / (p + q + 1)  # the share of toxic texts among those without a name
     return out
 
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row of docs(doc_id, text). Null text counts as empty."""
+    """(doc_id, held_out, score, predicted, words) per row of docs(doc_id, text).
+
+    words: the restored words that speak for toxicity, in ascending order. The score puts the shares of all
+    names in the restored text together(). Null text counts as empty.
+    """
     cast = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = cast.value
         restorer = Restorer(m["lm"], m["shares"], m["words"])
         for b in batches:
-            worst = [restorer.worst(t) for t in b.column("text").to_pylist()]
-            p = np.array([m["plain"] if x is None else max(x, m["plain"]) for x in worst], np.float64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+            found = [restorer.found(t) for t in b.column("text").to_pylist()]
+            p = np.array([together(m["plain"], [p for p, _ in x.values()]) for x in found], np.float64)
+            words = [sorted({w for _, w in x.values()}) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32)), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "held_out", "score", "predicted", "words"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, words array<string>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit on labels(doc_id, toxic) and all texts, then score all of docs(doc_id, text); see fit() and score().
 
-    Null doc_id: not held out, never learned from. Repeated rows are scored each. Empty tables: no rows,
-    or scores of a model that knows nothing. Other columns are ignored.
+    Null doc_id: not held out, never learned from. Repeated rows are scored each, ties alike. Empty tables:
+    no rows, or scores of a model that knows nothing. Very long texts and words take time in proportion.
+    Other columns are ignored, whatever their names.
     """
     return score(docs, fit(docs, labels, **options))
