@@ -63,22 +63,23 @@ def carry_pages(lines: DataFrame, mode: str = "documented") -> DataFrame:
     return marked.withColumn("page", F.coalesce(F.last("_mark", ignorenulls=True).over(w), F.lit(1))).where("_mark IS NULL").drop("_mark")
 
 
-def parse_line(raw: Column) -> Column:
-    """struct(label, values) of a line: tab columns, columns two spaces apart, or one number at the end."""
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """lines(raw, ..) with _p, struct(label, values) of each: tab columns, columns two spaces apart, or one number at the end."""
+    raw = F.col("raw")
     parts = lambda by: F.filter(F.transform(F.split(raw, by), strip), lambda x: x != "")
-    tabs, wide = parts("\t"), parts(r"\s{2,}")
+    single = r"^(.+?)\s+([\d,.()\-]+)\s*$"
+    x = once(lines, _tabs=parts("\t"), _wide=parts(r"\s{2,}"), _label=F.regexp_extract(raw, single, 1), _value=F.regexp_extract(raw, single, 2))
     # the numbers at the end start after the last part that is none
-    last = F.array_max(F.transform(wide, lambda x, i: F.when(~looks_like_number(x), i + 1).otherwise(0)))
-    empty = F.array().cast("array<string>")
-    single = F.regexp_extract(raw, r"^(.+?)\s+([\d,.()\-]+)\s*$", 1)
-    value = F.regexp_extract(raw, r"^(.+?)\s+([\d,.()\-]+)\s*$", 2)
+    x = once(x, _last=F.array_max(F.transform("_wide", lambda c, i: F.when(~looks_like_number(c), i + 1).otherwise(0))))
+    tabs, wide, last = F.col("_tabs"), F.col("_wide"), F.col("_last")
     pair = lambda label, values: F.struct(label.alias("label"), values.alias("values"))
-    return (
+    parsed = (
         F.when(raw.contains("\t") & (F.size(tabs) >= 2), pair(F.get(tabs, F.lit(0)), F.slice(tabs, 2, F.greatest(F.size(tabs), F.lit(1)))))
         .when((F.size(wide) >= 2) & (last >= 1) & (last < F.size(wide)), pair(F.array_join(F.slice(wide, 1, F.greatest(last, F.lit(1))), " "), F.slice(wide, last + 1, F.greatest(F.size(wide), F.lit(1)))))
-        .when(value != "", pair(strip(single), F.array(strip(value))))
-        .otherwise(pair(strip(raw), empty))
+        .when(F.col("_value") != "", pair(strip(F.col("_label")), F.array(strip(F.col("_value")))))
+        .otherwise(pair(strip(raw), F.array().cast("array<string>")))
     )
+    return once(x, _p=parsed).drop("_tabs", "_wide", "_label", "_value", "_last")
 
 
 def is_header(text: Column, parsed: Column) -> Column:
@@ -116,7 +117,7 @@ def sections(lines: DataFrame, named: DataFrame) -> DataFrame:
     named is periods(lines): lines that hold a period and little else are dropped. Lines above any header
     belong to "General"; headers without data lines vanish.
     """
-    parsed = once(lines, _p=parse_line(F.col("raw")))
+    parsed = parse_lines(lines)
     names = named.groupBy("doc_id").agg(F.collect_list("period").alias("_periods"))
     parsed = parsed.join(names, "doc_id", "left")
     dated = F.exists(F.coalesce("_periods", F.array().cast("array<string>")), lambda p: F.col("text").contains(p))

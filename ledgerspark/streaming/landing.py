@@ -18,8 +18,8 @@ def watch(spark: SparkSession, folder: str, document_type: str, log: str, checkp
     docs = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("doc_id"), F.lit(document_type).alias("document_type"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("updated_at"))
 
     def batch(df: DataFrame, number: int) -> None:
-        results = process_documents(df.select("doc_id", "document_type", "text"), mode)
-        rows = results.join(envelope(results), "doc_id").join(df.select("doc_id", "updated_at"), "doc_id")
+        results = envelope(process_documents(df.select("doc_id", "document_type", "text"), mode), "document_type", "processing_status", "overall_confidence")
+        rows = results.join(df.groupBy("doc_id").agg(F.max("updated_at").alias("updated_at")), "doc_id")
         rows.select(F.col("doc_id").alias("document_name"), "document_type", "processing_status", F.col("overall_confidence").alias("confidence"), "result_json", "updated_at", F.lit(number).cast("long").alias("seq")).write.mode("append").parquet(log)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
