@@ -60,6 +60,11 @@ def resident(key: tuple, make: Callable[[], object]):
     return _resident[key]
 
 
+def release() -> None:
+    """Let go of another operator's heavy object, in a task that needs none of its own."""
+    resident(("none",), object)
+
+
 class Recent:
     """What is known of words, within `most` bytes: those not met since half of it was filled go.
 

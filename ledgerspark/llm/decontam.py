@@ -9,7 +9,8 @@ so some band holds every such occurrence; bands that reach the bound are aligned
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+import uuid
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import fresh, materialize, resident, running_totals
 
 Q = 8
 EDIT_RATE = 0.1
-#: Benchmark characters that one pass holds in each worker; a larger benchmark takes several passes.
-PASS_CHARS = 8_000_000
+#: Benchmark characters that one pass holds in each worker, some 60 bytes each as an index; a larger
+#: benchmark takes several passes.
+PASS_CHARS = 1_000_000
 TABLE_BITS = 22
 
 _M1, _M2, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -62,9 +64,12 @@ class Items:
 
     def __init__(self, rows: list[tuple[int | None, str | None]], rate: float = EDIT_RATE):
         self.ids, self.codes, budget, least, hashes, where, which = [], [], [], [], [], [], []
+        self.short: dict[bytes, list[int | None]] = {}  # items without a q-gram, by their characters
         for item_id, text in rows:
             a = normalize(text)
             if len(a) < Q:
+                if len(a):
+                    self.short.setdefault(a.tobytes(), []).append(item_id)
                 continue
             k = min(math.floor(rate * len(a)), (len(a) - Q) // Q)
             h = grams(a)
@@ -83,9 +88,14 @@ class Items:
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[self.gram >> np.uint64(64 - TABLE_BITS)] = True
 
-    def find(self, text: str | None) -> list[tuple[int, int]]:
-        """(number of item, edits) for each item that occurs in text within its budget; edits: the fewest of any place."""
+    def find(self, text: str | None) -> list[tuple[int | None, int]]:
+        """(item id, edits) for each item that occurs in text within its budget; edits: the fewest of any place."""
         a = normalize(text)
+        if len(a) < Q:
+            return [(i, 0) for i in self.short.get(a.tobytes(), ())]
+        return [(self.ids[i], edits) for i, edits in self._occurrences(a)]
+
+    def _occurrences(self, a: np.ndarray) -> list[tuple[int, int]]:
         h = grams(a)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - TABLE_BITS)])
         if not len(at) or not len(self.ids):
@@ -157,33 +167,40 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int)
 def scan(docs: DataFrame, benchmark: DataFrame, hits: str, rate: float = EDIT_RATE, pass_chars: int = PASS_CHARS) -> DataFrame:
     """docs with a column hits: array of (item_id, edits) of the benchmark items that the text holds.
 
-    Pieces of the benchmark of at most pass_chars characters (a single longer item is a piece) are sent
-    to the tasks, one piece a pass, so what a task holds is bounded and every item is searched.
+    Pieces of the benchmark of about pass_chars characters (a single longer item is a piece) are sent to
+    the tasks, one piece a pass, so what a worker holds is bounded and every item is searched. A worker
+    makes a piece's index once. With several pieces each pass writes what it found, and one join brings
+    all of it to the documents.
     """
-    items = materialize(benchmark.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")), "benchmark")
-    chars = items.agg(F.sum("n")).first()[0] or 0
-    passes = max(1, math.ceil(2 * chars / pass_chars))
-    schema = T.StructType([*docs.schema.fields, T.StructField(hits, T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())])))])
-    out = docs.withColumn(hits, F.array().cast(schema[hits].dataType.simpleString()))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
-    for k in range(passes):
-        piece = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select("item_id", "text").collect()]
-        if k:
-            out = materialize(out, "decontam-pass")
-        cast = docs.sparkSession.sparkContext.broadcast(piece)
-        made: list[Items] = []
-
-        def run(batches, cast=cast, made=made):
-            if not made:
-                made.append(Items(cast.value, rate))
-            items = made[0]
+    spark = docs.sparkSession
+    items = benchmark.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    items = running_totals(items, [F.xxhash64("item_id", "text")], ["n"], "benchmark").withColumn("piece", F.floor(F.col("n_before") / pass_chars))
+    pieces = [r.piece for r in items.select("piece").distinct().orderBy("piece").collect()] or [0]
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())]))
+    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
+
+    def search(rows: DataFrame, piece: int, keep_all: bool) -> DataFrame:
+        cast, label = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.where(F.col("piece") == piece).select("item_id", "text").collect()]), uuid.uuid4().hex
+        names, at = rows.columns, rows.columns.index("text")
+        out = names if keep_all else [c for c in names if c != "text"]
+
+        def run(batches):
+            index = resident(("decontam", label), lambda: Items(cast.value, rate))
             for b in batches:
-                found = [[*old, *({"item_id": items.ids[i], "edits": e} for i, e in items.find(t))] for t, old in zip(b.column("text").to_pylist(), b.column(hits).to_pylist(), strict=True)]
-                at = b.schema.get_field_index(hits)
-                yield b.set_column(at, hits, pa.array(found, kind))
+                found = [[{"item_id": i, "edits": e} for i, e in index.find(t)] for t in b.column(at).to_pylist()]
+                made = pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out), pa.array(found, arrow)], names=[*out, hits])
+                yield made if keep_all else made.filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+        return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in out), T.StructField(hits, kind)]))
 
-        out = out.mapInArrow(run, schema)
-    return out
+    if len(pieces) == 1:
+        return search(docs, pieces[0], True)
+    row, found = fresh(docs.columns, "row", "found")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    parts = [materialize(search(keyed, k, False).withColumn("piece", F.lit(k)), "decontam-pass") for k in pieces]
+    every = reduce(DataFrame.union, parts).distinct().groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list(hits)).alias(found))
+    out = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(every, row, "left")
+    return out.select(*docs.columns, F.coalesce(found, F.array().cast(kind)).alias(hits))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -191,9 +208,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
     A document holds an item if some stretch of it, compared as letters and digits in lower case with
     one break between words, is within EDIT_RATE of the item's length in edits (fewer for items under
-    about 100 characters, so that the q-gram bound stays positive). item_ids is in ascending order, with
-    edits beside it. Null or empty text: clean. Items of fewer than 8 characters match nothing. Null
-    doc_id: a row of its own. Repeated rows and items count each. Empty tables: no rows, or all clean.
+    about 100 characters, so that the q-gram bound stays positive). Items of fewer than 8 characters have
+    no q-gram: a document holds one only if it is all of its text. item_ids is in ascending order, with
+    edits beside it. Null or empty text: clean. Null doc_id: a row of its own. Repeated rows and items
+    count each. Very long texts are searched whole. Empty tables: no rows, or all clean. Other columns
+    are ignored, whatever their names.
     """
     found = scan(docs.select("doc_id", "text"), benchmark, "_hits", **options)
     hits = F.array_sort("_hits")
@@ -202,7 +221,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that hold no benchmark item, all columns kept."""
-    hits = "_hits"
-    while hits in docs.columns:
-        hits += "_"
+    (hits,) = fresh(docs.columns, "hits")
     return scan(docs, benchmark, hits, **options).where(F.size(hits) == 0).drop(hits)

@@ -22,7 +22,7 @@ from .common import Recent, resident
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: Bytes of measured words that a worker remembers at most.
-WORDS_BYTES = 128 << 20
+WORDS_BYTES = 48 << 20
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 0.2, 5

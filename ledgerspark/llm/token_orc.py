@@ -22,7 +22,7 @@ from .common import Recent, resident, shared_path
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 #: Bytes of encoded words, and again of their parts, that a worker remembers at most.
-WORDS_BYTES, PARTS_BYTES = 128 << 20, 48 << 20
+WORDS_BYTES, PARTS_BYTES = 112 << 20, 40 << 20
 
 ORC_OPTIONS = {
     "compression": "zstd",
