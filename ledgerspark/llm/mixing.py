@@ -13,16 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, running_totals
+from .common import WORD, fresh, materialize, running_totals
 
 #: Rates are rounded as integers of this many parts, so sums do not depend on the order of rows.
 PARTS = 1 << 20
-#: Documents of a source that one round of flips changes, at most.
+#: Documents of a source that one round of flips changes, at most; rounds go on until no flip helps.
 STEPS = 16
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text: the length of what is left when each word is cut to its first character and all white space goes."""
+    first = F.regexp_replace(text, WORD.removesuffix("+").join("()") + WORD.removesuffix("+") + r"*|[\x20\x09-\x0D]+", "$1")
+    return F.coalesce(F.length(first), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -89,27 +91,28 @@ def solve(sizes: DataFrame, targets: DataFrame, cap: int = 2, rounds: int = 60,
     return state
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, flips: int = 4) -> DataFrame:
-    """(doc_id, size, source_size, target, rate, copies, taken), one row per row of docs(doc_id, text, source).
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """(doc_id, size, source_size, target, rate, copies, taken, row), one row per row of docs(doc_id, text, source).
 
     Null text: size 0. Null source: a source of its own, last. Null or repeated doc_id: each row counts
-    by itself; equal rows may get different copies, in an order that their hash sets. Empty table: no
-    rows. Extra columns are ignored. Same rows, same result.
+    by itself; rows of one size stand in the order of row, a hash of doc_id, source and text, and rows
+    that repeat all three may get different copies. A very long text is a row like others. Empty table: no rows.
+    Extra columns are ignored, whatever their names. Same rows, same result.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("skey"), F.xxhash64(F.col("doc_id")).alias("h")), "mix-sizes")
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("skey"), F.xxhash64("doc_id", "source", "text").alias("h"), F.monotonically_increasing_id().alias("tie")), "mix-sizes")
     targets = source_targets(sizes, weights, share, cap)
     state = materialize(solve(sizes, targets, cap), "mix-solved")
     rate = F.when(F.col("full"), F.lit(float(cap))).when(F.col("target") <= 0, F.lit(0.0)).otherwise(_rate(F.col("lam"), F.col("size"), F.col("mean"), cap))
     rated = sizes.join(state.select("skey", "source_size", "target", "full", "lam", "mean"), "skey")
     rated = rated.withColumn("rate", rate).withColumn("parts", F.round(F.col("rate") * PARTS).cast("long")).withColumn("one", F.lit(1).cast("long"))
     # systematic sampling: neighbours in size share the rounding, so each source's error stays near one document
-    cum = running_totals(rated.drop("full", "lam", "mean"), [F.col("skey"), F.col("size"), F.col("h"), F.col("doc_id")], ["parts", "one"], "mix-rounded")
+    cum = running_totals(rated.drop("full", "lam", "mean"), [F.col("skey"), F.col("size"), F.col("h"), F.col("tie")], ["parts", "one"], "mix-rounded")
     half = PARTS // 2
     copies = F.floor((F.col("parts_before") + F.col("parts") + half) / PARTS) - F.floor((F.col("parts_before") + half) / PARTS)
     cum = cum.withColumn("copies", F.least(F.lit(cap), copies).cast("long")).withColumnRenamed("one_before", "row")
-    cum = materialize(cum.select("doc_id", "skey", "size", "source_size", "target", "rate", "copies", "row"), "mix-copies")
-    for k in range(flips):
+    cum = materialize(cum.select("doc_id", "skey", "size", "source_size", "target", "rate", "copies", "row", "h"), "mix-copies")
+    while True:  # each flip brings its source nearer to its target, so this ends
         gap = cum.groupBy("skey").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("gap"))
         able = F.when(F.col("gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
         some = cum.join(gap, "skey").where(able).select("skey", "row", "size", "gap")
@@ -128,22 +131,16 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: int = 2, fl
             break
         cum = cum.join(best, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("by", F.lit(0))).drop("by")
         cum = materialize(cum, "mix-copies")
-    return cum.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "skey")
+    return cum.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"), "skey", F.col("h").alias("row"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, each as often as mix() says, with docs' own columns.
+    """The rows of docs, each as often as mix() says, with docs' own columns, whatever their names.
 
-    Rows of one (doc_id, source, size) share the copies that mix() gave them: each gets as many as the
-    others, and the first ones, in an order of text hashes, one more.
+    Rows that share doc_id, source and text are taken for one: it comes as often as all of them together.
     """
-    cols = docs.columns
-    got = mix(docs.select("doc_id", "text", "source"), **options)
-    got = got.groupBy("doc_id", "skey", "size").agg(F.sum("copies").alias("_c"), F.count("*").alias("_n")).where("_c > 0")
-    got = got.select(F.col("doc_id").alias("_d"), F.col("skey").alias("_k"), F.col("size").alias("_s"), "_c", "_n")
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rows = docs.select(*cols, key.alias("_key"), word_count(F.col("text")).alias("_size"))
-    rows = rows.join(got, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_key", "_size").orderBy(F.xxhash64("text")))
-    rows = rows.withColumn("_take", F.floor(F.col("_c") / F.col("_n")) + (nth <= F.col("_c") % F.col("_n")).cast("long"))
-    return rows.where("_take > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select(*cols)
+    row, n, i = fresh(docs.columns, "row", "n", "i")
+    got = mix(docs.select("doc_id", "text", "source"), **options).groupBy(F.col("row").alias(row)).agg(F.sum("copies").alias(n)).where(F.col(n) > 0)
+    # one of equal rows before the shuffle; the join then finds the texts dealt out by row
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "source", "text")).dropDuplicates([row]).join(got, row)
+    return rows.withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

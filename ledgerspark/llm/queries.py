@@ -50,7 +50,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("skey")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("skey", "row")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_simhash, op3_fertility, op4_spans, op5_token_orc, op6_line_edit, op7_warc, op8_toxicity, op9_decontam, op10_entropy_mix)}

@@ -15,12 +15,12 @@ import xxhash
 from ledgerspark.llm import decontam, fertility, line_edit, mixing, quality, queries, simhash, spans, token_orc, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
-DOC = "doc_id long, text string, lang string, source string, n_chars long, label int, _h long, fp string"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, label int, _h long, fp string, `row` long, n long, i long, keep long, skey string"
 
 
 def docs_of(spark, rows):
     """Rows of (doc_id, text, source) with further columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, 7, "x") for i, t, s in rows], DOC).repartition(3)
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, 7, "x", 1, 2, 3, 4, "y") for i, t, s in rows], DOC).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -176,20 +176,6 @@ def test_classifier_edges(spark, module, label, mixed):
     assert all(0 <= r.score <= 1 for r in module.classify(docs_of(spark, mixed), some).collect())
 
 
-def test_decontamination(spark):
-    item = "The quick brown fox jumps over the lazy dog while seventeen engineers debate the shape of the river delta"
-    typo = item.replace("jumps", "jumpd").replace("debate", "debte")
-    other = "A wholly different question about the chemistry of salts and the boiling point of strong solutions in water"
-    rows = [(1, f"intro words {item}, and more", "a"), (2, f"pre {typo.upper()} post", "a"), (3, "clean text about nothing much", "b"), (4, None, None), (5, "", None), (6, other[:50], "c"), (None, other, "c")]
-    bench = spark.createDataFrame([(10, item), (11, other), (12, None), (13, "tiny")], "item_id long, text string")
-    got = {r.doc_id: (r.contaminated, list(r.item_ids)) for r in decontam.contamination(docs_of(spark, rows), bench).collect()}
-    assert got == {1: (True, [10]), 2: (True, [10]), 3: (False, []), 4: (False, []), 5: (False, []), 6: (False, []), None: (True, [11])}
-    kept = decontam.clean(docs_of(spark, rows), bench)
-    assert {r.doc_id for r in kept.collect()} == {3, 4, 5, 6} and kept.columns == docs_of(spark, rows).columns
-    several = decontam.contamination(docs_of(spark, rows), bench, pass_chars=60)
-    assert {r.doc_id: (r.contaminated, list(r.item_ids)) for r in several.collect()} == got
-
-
 def test_mix(spark, mixed):
     got = mixing.mix(docs_of(spark, mixed)).collect()
     sizes, order = Counter(), sorted({s for _, _, s in mixed if s is not None}) + [None]
@@ -237,3 +223,65 @@ def test_empty_tables(spark):
 
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_warc_is_read_in_parallel(spark):
+    pages = spark.range(400).selectExpr("CAST(id AS STRING) || 'x:y' AS page_id", "'u' AS url", "repeat(CAST(id AS STRING), 2000) AS html", "1 AS digest", "2 AS first", "3 AS _p").repartition(4)
+    index = warc.write_warc(pages, frame_bytes=20_000)
+    rows = warc.read_warc(index, task_bytes=100_000)
+    assert rows.rdd.getNumPartitions() > 8
+    got = rows.collect()
+    assert sorted(r.page_id for r in got) == sorted(f"{k}x:y" for k in range(400))
+    assert all(r.payload.decode() == r.page_id.removesuffix("x:y") * 2000 for r in got)
+    frames = {(r.file, r.frame) for r in index.collect()}
+    assert len(frames) > 50
+
+
+def test_token_files(spark, mixed, monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(k, f"BİRİNCİ, iki {k} sözcük. İ, don't {'x' * (k % 50)}") for k in range(300)] + [(300, "w" * 200_000), (301, ". " * 1000)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 3)
+    try:
+        path = token_orc.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), files=4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    start, want = 0, []
+    for i, x in rows:
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), ids))
+        start += len(ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, list(r.ids)) for r in token_orc.read_tokens(spark, path).collect())
+    assert got == want
+    one = token_orc.lookup(spark, path, [17, 250, 10_000]).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in one) == [(i, want[i][3]) for i in (17, 250)]
+
+
+def test_lookup_skips_stripes(spark):
+    """Ids lie apart by 2: an even id's files go by statistics, an odd one within the range by the Bloom filter."""
+    docs = spark.range(40_000).selectExpr("2 * id AS doc_id", "'some words ' || id AS text")
+    path = token_orc.write_tokens(docs, files=4)
+
+    def rows_read(ids):
+        df = token_orc.lookup(spark, path, ids)
+        df._jdf.collectToPython()
+        plan = df._jdf.queryExecution().executedPlan()
+        while not plan.nodeName().startswith("Scan"):
+            plan = plan.children().head()
+        return plan.metrics().apply("numOutputRows").value(), df.count()
+
+    assert rows_read([30_000])[1] == 1 and rows_read([30_000])[0] <= 2 * 2000
+    assert rows_read([30_001]) == (0, 0)
+
+
+def test_token_fuzz():
+    from tokenizers import Tokenizer
+
+    t, random = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Random(1)
+    letters = "abcXYZéÄÖß İıſKÅ ,.!?'\"-—…0123٣½ﬁ Ωжहि中한̇́\xad​ \u0085  \n\t\r\x0b\x0c\x1c<|>_@#ŁłŒœʼnǅ"
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(1, 25))) for _ in range(12_000)]
+    enc = token_orc.WordEncoder(token_orc.VOCABULARY, 1 << 20, 1 << 19)
+    got = [x for k in range(0, len(texts), 100) for x in enc.encode_all([t.encode() for t in texts[k : k + 100]])]
+    bad = [x for x, g in zip(texts, got, strict=True) if np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() != g]
+    assert not bad
