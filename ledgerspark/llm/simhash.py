@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, components.
 
-A fingerprint's 64 bits are cut into BLOCKS blocks. Two fingerprints that differ in at most DISTANCE
-bits agree on at least BLOCKS - DISTANCE blocks, so they share the key of some choice of that many.
+A fingerprint's 64 bits are cut into blocks. Two fingerprints that differ in at most DISTANCE bits agree on
+all but DISTANCE of the blocks at least, so they share the key of some choice of that many.
 Fingerprints that are equal are one node from the start; nodes are joined on block keys and the pairs
 verified by Hamming distance.
 """
@@ -16,10 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, fresh, materialize
 
 SHINGLE, SEED = 3, 42
-DISTANCE, BLOCKS = 3, 5
+DISTANCE = 3
+#: (blocks, most nodes): five blocks make 10 keys of about 25 bits, seven make 35 keys of about 36, so that
+#: chance meetings stay few beside the nodes. Either finds all pairs.
+BLOCKS = ((5, 4_000_000), (7, None))
 
 _OFFSETS = np.arange(8, dtype=np.intp) * 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -65,21 +68,25 @@ def _block_keys(fp, blocks: int, distance: int):
     return F.array(*(F.xxhash64(F.lit(n), *(part[k] for k in c)) for n, c in enumerate(combinations(range(blocks), blocks - distance))))
 
 
-def near_links(nodes: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Pairs a < b of nodes(fp), distinct fingerprints, that differ in at most distance bits."""
+def near_links(nodes: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+    """Pairs a < b of nodes(fp), distinct fingerprints, that differ in at most distance bits; blocks: by the nodes' number."""
+    if blocks is None:
+        n = nodes.count()
+        blocks = next(k for k, most in BLOCKS if most is None or n <= most)
     keyed = nodes.select("fp", F.explode(_block_keys(F.col("fp"), blocks, distance)).alias("key"))
     a, b = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
     near = (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return a.join(b, near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs(doc_id, text).
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id that links of at most
     distance differing bits reach. Null, empty or wordless text: fingerprint zero, linked like any
     other. Null doc_id: a row of its own that never names a component; a component of nulls has a null
-    id. Repeated rows are repeated. Empty table: no rows. Other columns are ignored.
+    id. Repeated rows are repeated. A very long text is hashed whole. Empty table: no rows. Other columns
+    are ignored, whatever their names.
     """
     fps = materialize(fingerprints(docs), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
@@ -98,6 +105,6 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
     and text, one stays.
     """
     dup = near_duplicates(docs.select("doc_id", "text"), **options)
-    keep = dup.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    (keep,) = fresh(docs.columns, "keep")
+    ids = dup.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(keep)).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi").dropDuplicates(["doc_id", "text"])
