@@ -179,3 +179,24 @@ def components(links: DataFrame, label: str = "components", max_rounds: int = 50
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
+    """rows(embedding, ...) whose vector is whole, with v, its components times scale, rounded down; embedding goes.
+
+    Null vectors and those with null or non-finite components drop out.
+    """
+    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")
+    return rows.where(F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))).select(*(c for c in rows.columns if c != "embedding"), v)
+
+
+def components_of(column: pa.Array, length: int) -> np.ndarray:
+    """A list column without nulls as a matrix of longs; shorter lists are filled up with zeros."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy().astype(np.int64, copy=False)
+    if (sizes == length).all():
+        return flat.reshape(len(column), length)
+    out = np.zeros((len(column), length), np.int64)
+    out[np.arange(length) < sizes[:, None]] = flat
+    return out
