@@ -27,7 +27,7 @@ SEATS = 8
 #: Terms of a block, and terms of a block times groups of a seat, at most.
 BLOCK, HELD = 1 << 14, 1 << 23
 #: Terms that a task counts before it passes the counts on; bytes of a text that it cuts into words at once.
-COUNTED, PIECE = 200_000, 1 << 20
+COUNTED, PIECE = 400_000, 1 << 20
 
 #: A-Z to a-z, what no term has to a blank.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
