@@ -123,7 +123,7 @@ def test_search_of_few_and_of_large(spark, mixed):
     few = [(20, [1.0, 2.0], 1), (21, [0.5], 1), (40, [-1.0, -1.0], 1)]
     run = lambda rows, **k: sorted((tuple(r) for r in norm_search.search(vectors_of(spark, rows), **k).collect()), key=repr)
     assert run(few) == plain_search(few) and run([]) == [] and run([(20, [1.0], 1)]) == []
-    large = [(i, [x * 3e6 for x in e] if whole(e) else e, c) for i, e, c in mixed[::3]]  # beyond what doubles multiply exactly
+    large = [(i, [x * 5e5 for x in e] if whole(e) else e, c) for i, e, c in mixed[::3]]  # beyond what doubles multiply exactly
     assert run(large, group=2000) == plain_search(large)
     with pytest.raises(ValueError, match="range of long"):
         norm_search.search(vectors_of(spark, [(20, [1e30], 1)]))
