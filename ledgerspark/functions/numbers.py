@@ -19,19 +19,27 @@ NUMBER = {
     "compat": r"\(?-?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?\)?",
     "documented": r"\(?-?(?:\d{1,3}(?:,\d{2})*(?:,\d{3})+|\d+)(?:\.\d+)?\)?",
 }
-FLOAT = r"^[+-]?(?:\d+\.?\d*|\.\d+)$"
+FLOAT = r"^[+-]?(?:\d++\.?+\d*+|\.\d++)$"
 UNITS = [
-    ("Cr", r"(?i)\s*(?:Crore|Crores|Cr\.?)\s*$"),
-    ("Lakh", r"(?i)\s*(?:Lakh|Lakhs|Lac|Lacs)\s*$"),
-    ("Mn", r"(?i)\s*(?:Million|Millions|Mn\.?|MM)\s*$"),
-    ("Bn", r"(?i)\s*(?:Billion|Billions|Bn\.?)\s*$"),
-    ("K", r"(?i)\s*(?:Thousand|Thousands|K)\s*$"),
+    ("Cr", ["Crore", "Crores", r"Cr\.?"]),
+    ("Lakh", ["Lakh", "Lakhs", "Lac", "Lacs"]),
+    ("Mn", ["Million", "Millions", r"Mn\.?", "MM"]),
+    ("Bn", ["Billion", "Billions", r"Bn\.?"]),
+    ("K", ["Thousand", "Thousands", "K"]),
 ]
+#: White space of any script.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def at_end(pattern: str) -> str:
+    """A pattern at the end of a text, with the blanks around it. A match can start at the first of a run of blanks only, so
+    a text that holds long runs is looked through once."""
+    return rf"(?<!\s)\s*+(?:{pattern})\s*+$"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any script at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def currency(text: Column) -> Column:
@@ -80,26 +88,30 @@ def drop_currency(c: Column) -> Column:
 
 
 def drop_percent(c: Column) -> Column:
-    return F.regexp_replace(c, r"\s*%\s*$", "")
+    return F.regexp_replace(c, at_end("%"), "")
+
+
+def _unit(words: list[str]) -> str:
+    return "(?i)" + at_end("|".join(words))
 
 
 def unit(c: Column) -> Column:
     """The scale word that ends a number, if any; values are never scaled by it."""
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(UNITS):
-        out = F.when(c.rlike(pattern), name).otherwise(out)
+    for name, words in reversed(UNITS):
+        out = F.when(c.rlike(_unit(words)), name).otherwise(out)
     return out
 
 
 def drop_unit(c: Column) -> Column:
     out = c
-    for _, pattern in reversed(UNITS):
-        out = F.when(c.rlike(pattern), F.trim(F.regexp_replace(c, pattern, ""))).otherwise(out)
+    for _, words in reversed(UNITS):
+        out = F.when(c.rlike(_unit(words)), F.trim(F.regexp_replace(c, _unit(words), ""))).otherwise(out)
     return out
 
 
 #: What counts as a number for the labelled-line reader, once cleaned, and what compat mode takes besides.
-PLAIN_NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
+PLAIN_NUMBER = r"^[+-]?(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?\d++)?+$"
 ODD_NUMBER = r"^(?:[+-]?Infinity|0[xX][0-9a-fA-F]+)$"
 INDIAN = r"^-?\d{1,2}(?:,\d{2})*,\d{3}(?:\.\d+)?$"
 

@@ -67,7 +67,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """lines(raw, ..) with _p, struct(label, values) of each: tab columns, columns two spaces apart, or one number at the end."""
     raw = F.col("raw")
     parts = lambda by: F.filter(F.transform(F.split(raw, by), strip), lambda x: x != "")
-    single = r"^(.+?)\s+([\d,.()\-]+)\s*$"
+    single = r"^(.*\S|\s)\s++([\d,.()\-]++)\s*+$"
     x = once(lines, _tabs=parts("\t"), _wide=parts(r"\s{2,}"), _label=F.regexp_extract(raw, single, 1), _value=F.regexp_extract(raw, single, 2))
     # the numbers at the end start after the last part that is none
     x = once(x, _last=F.array_max(F.transform("_wide", lambda c, i: F.when(~looks_like_number(c), i + 1).otherwise(0))))

@@ -37,26 +37,50 @@ def with_values(lines: DataFrame, mode: str = "documented") -> DataFrame:
     before = F.regexp_extract("text", f"^(.*?)(?>{rx})", 1)
     before_second = F.regexp_extract("text", f"^(.*?(?>{rx}).*?)(?>{rx})", 1)
     label = F.when(~F.col("text").rlike(rx), F.col("text")).when(schedule, before_second).otherwise(before)
-    return once(x, label=F.regexp_replace(label, r"^[ :\-\t]+|[ :\-\t]+$", ""), values=values).drop("_found")
+    return once(x, label=F.regexp_replace(label, r"^[ :\-\t]+|(?<![ :\-\t])[ :\-\t]++$", ""), values=values).drop("_found")
 
 
-def fifo_pairs(events: DataFrame, key: str, order: str, kind: str) -> DataFrame:
+#: Events of a queue that one chunk of a scan holds, about.
+CHUNK = 100_000
+
+
+def chunk_width(events: DataFrame, key: str, order: str, size: int = CHUNK) -> int | None:
+    """How many numbers of the order a chunk spans, so that the longest queue's hold about size events each; None if no queue is that long."""
+    most = events.groupBy(key).agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).agg(F.max(F.struct("n", "low", "high"))).first()[0]
+    return None if most is None or most["n"] <= size else max(1, (most["high"] - most["low"] + 1) * size // most["n"])
+
+
+def fifo_pairs(events: DataFrame, key: str, order: str, kind: str, chunk: int | None = None) -> DataFrame:
     """Pair pushes and pops of a queue: (key, push order, pop order) for each pop that finds something.
 
-    events(key, order, kind): kind is "push", "pop" or anything else. The queue's length before a row is
-    the running sum of pushes and pops less the lowest sum so far, if below zero; the n-th pop that finds
-    a queue takes the n-th push.
+    events(key, order, kind): kind is "push", "pop" or anything else. The queue's length before a row is the running sum
+    of pushes and pops less the lowest sum so far, if below zero; a pop that finds a queue takes the push whose number is
+    that of the pushes so far less the length that remains.
+
+    chunk: the order is a whole number, and a queue is cut into chunks of so many numbers that need not meet in one task.
+    A chunk is summed up by its sum, its lowest prefix and its pushes; such sums combine associatively, so a window over a
+    queue's chunks, of which there are few, gives what stands before each, and the rows take it by a join.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     e = events.where(F.col(kind).isin("push", "pop")).select(key, order, kind)
-    e = e.withColumn("_d", F.when(F.col(kind) == "push", 1).otherwise(-1))
-    e = e.withColumn("_s", F.coalesce(F.sum("_d").over(before), F.lit(0)))
-    e = e.withColumn("_low", F.least(F.lit(0), F.min("_s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    e = e.withColumn("_served", (F.col(kind) == "pop") & (F.col("_s") - F.col("_low") > 0))
-    e = e.withColumn("_n", F.when(F.col(kind) == "push", F.sum((F.col(kind) == "push").cast("int")).over(w)).when(F.col("_served"), F.sum(F.col("_served").cast("int")).over(w)))
-    pushes = e.where(F.col(kind) == "push").select(key, "_n", F.col(order).alias("push"))
-    pops = e.where("_served").select(key, "_n", F.col(order).alias("pop"))
+    push = (F.col(kind) == "push").cast("long")
+    e = e.withColumns({"_d": 2 * push - 1, "_chunk": F.lit(0).cast("long") if chunk is None else F.floor(F.col(order) / chunk)})
+    w = Window.partitionBy(key, "_chunk").orderBy(order)
+    here, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("_sum", F.sum("_d").over(here)).withColumn("_pushes", F.sum(push).over(here))
+    # the lowest sum before the row, zero at most
+    e = e.withColumn("_low", F.least(F.lit(0), F.coalesce(F.min("_sum").over(before), F.lit(0))))
+    if chunk is not None:
+        parts = e.groupBy(key, "_chunk").agg(F.sum("_d").alias("_s"), F.least(F.lit(0), F.min("_sum")).alias("_l"), F.sum(push).alias("_p"))
+        past = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        parts = parts.withColumn("_sum_before", zero(F.sum("_s").over(past)))
+        parts = parts.select(key, "_chunk", "_sum_before", zero(F.sum("_p").over(past)).alias("_pushes_before"), zero(F.min(F.col("_sum_before") + F.col("_l")).over(past)).alias("_low_before"))
+        e = e.join(parts, [key, "_chunk"])
+        e = e.withColumns({"_sum": F.col("_sum") + F.col("_sum_before"), "_pushes": F.col("_pushes") + F.col("_pushes_before"), "_low": F.least("_low_before", F.col("_sum_before") + F.col("_low"))})
+    pushes = e.where(F.col(kind) == "push").select(key, F.col("_pushes").alias("_n"), F.col(order).alias("push"))
+    # a pop that does not make a new lowest sum is served
+    pops = e.where((F.col(kind) == "pop") & (F.col("_sum") >= F.col("_low")))
+    pops = pops.select(key, (F.col("_pushes") - F.col("_sum") + F.col("_low")).alias("_n"), F.col(order).alias("pop"))
     return pops.join(pushes, [key, "_n"]).select(key, "push", "pop")
 
 

@@ -15,7 +15,7 @@ from ..operators import checks as C
 from ..operators import invoice, lines, matching, rows, statements
 from ..sources import admission, store
 from . import render
-from .process import envelope, extract_text, process_documents
+from .process import envelope, extract_text, process_documents, quick_read
 from .registry import ORACLES, QUERIES, query
 from .render import table
 from .schema import TYPES, field_aliases, template
@@ -74,6 +74,18 @@ def fifo_pairing(spark, sf_dir):
     return rows.fifo_pairs(table(spark, sf_dir, "events").select("user_id", "event_id", kind.alias("kind")), "user_id", "event_id", "kind")
 
 
+@query("""WITH e AS (SELECT event_id, event_type IN ('view', 'click') AS push FROM events),
+s AS (SELECT *, coalesce(sum(CASE WHEN push THEN 1 ELSE -1 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM e),
+m AS (SELECT *, NOT push AND s - least(0, min(s) OVER (ORDER BY event_id)) > 0 AS served FROM s),
+n AS (SELECT *, sum(push::INT) OVER w AS a, sum(served::INT) OVER w AS b FROM m WINDOW w AS (ORDER BY event_id))
+SELECT y.event_id AS push, x.event_id AS pop FROM n x JOIN n y ON x.b = y.a WHERE x.served AND y.push""")
+def fifo_pairing_one_queue(spark, sf_dir):
+    """All events in one queue: its chunks are scanned side by side, so the one key is no task of its own."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "push").otherwise("pop")
+    e = table(spark, sf_dir, "events").select(F.lit("all").alias("queue"), "event_id", kind.alias("kind"))
+    return rows.fifo_pairs(e, "queue", "event_id", "kind", rows.chunk_width(e, "queue", "event_id")).select("push", "pop")
+
+
 @query("SELECT c_custkey, ['USD', 'INR', 'EUR', 'GBP'][c_custkey % 4 + 1] AS currency, c_acctbal AS value FROM customer")
 def clean_currency(spark, sf_dir):
     sign = F.element_at(F.array(*map(F.lit, "$₹€£")), (F.col("c_custkey") % 4 + 1).cast("int"))
@@ -130,9 +142,43 @@ def label_match_best(spark, sf_dir):
     return best.select("schema_type", "label", "field", "alias", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT schema_type, count(DISTINCT field) AS total_fields, count(DISTINCT CASE WHEN required THEN field END) AS required_fields, string_agg(DISTINCT category, '|' ORDER BY category) AS categories FROM {_VALUES} GROUP BY schema_type")
+_SOME = ["Total Assets", "subtotal", "Revenue", "cash_from_operations", "opening balance"]
+_KINDS = {"Invoice": "SELECT s_suppkey AS k FROM supplier", "Balance Sheet": "SELECT n_nationkey FROM nation", "Income Statement": "SELECT DISTINCT year(l_shipdate) FROM lineitem", "Cash Flow Statement": "SELECT DISTINCT user_id FROM events"}
+
+
+@query(f"""WITH a AS (SELECT * FROM {_VALUES}), d AS ({" UNION ALL ".join(f"SELECT '{t}' AS schema_type, k FROM ({q.replace(' FROM', ' AS k FROM', 1) if ' AS k' not in q else q})" for t, q in _KINDS.items())}),
+w AS (SELECT DISTINCT schema_type, field FROM a WHERE lower(field) IN ({", ".join(_quote(n.lower()) for n in _SOME)}) OR lower(alias) IN ({", ".join(_quote(n.lower()) for n in _SOME)})),
+r AS (SELECT DISTINCT schema_type, field FROM a WHERE required), m AS (SELECT * FROM r WHERE (schema_type, field) NOT IN (SELECT (schema_type, field) FROM w))
+SELECT k::BIGINT AS doc_id, d.schema_type, field, 'missing_required_field' AS problem FROM d JOIN m ON d.schema_type = m.schema_type""")
+def mixed_batch_validation(spark, sf_dir):
+    """All four kinds of document in one batch, a few fields asked for: each lacks what else its own schema requires, and nothing of the others'."""
+    kinds = {"Invoice": render.bills, "Balance Sheet": render.balance_sheets, "Income Statement": render.income_statements, "Cash Flow": render.cash_flows}
+    docs = None
+    for name, made in kinds.items():
+        d = made(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(name).alias("document_type"), "text")
+        docs = d if docs is None else docs.unionByName(d)
+    got = quick_read(docs, _SOME)
+    x = got.select("doc_id", schema_route(F.col("document_type")).alias("schema_type"), F.explode("validation.errors").alias("e"))
+    return x.select("doc_id", "schema_type", "e.field", "e.problem").distinct()
+
+
+_NAMES = ["Invoice", "Balance Sheet", "Profit-and-Loss", "Income Statement", "Cash Flow", "BS", "memo", "GST bill"]
+_T = "replace(replace(lower(t), '-', '_'), ' ', '_')"
+_has = lambda c, *names: "(" + " OR ".join(f"contains({c}, '{n}')" for n in names) + ")"
+_SCHEMA = f"CASE WHEN {_has('lower(t)', 'balance', 'bs')} THEN 'Balance Sheet' WHEN {_has('lower(t)', 'income', 'p&l', 'profit', 'pnl', 'p & l')} THEN 'Income Statement' WHEN {_has('lower(t)', 'cash flow', 'cashflow', 'cf')} THEN 'Cash Flow Statement' WHEN {_has('lower(t)', 'invoice', 'bill')} THEN 'Invoice' END"
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    t = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("document_type"))
+
+
+@query(f"""WITH d AS (SELECT t, {_SCHEMA} AS schema_type FROM (SELECT [{', '.join(map(_quote, _NAMES))}][doc_id % {len(_NAMES)} + 1] AS t FROM documents)), n AS (SELECT schema_type, count(*) AS documents FROM d WHERE schema_type IS NOT NULL GROUP BY 1)
+SELECT n.schema_type, documents, count(DISTINCT field) AS total_fields, count(DISTINCT CASE WHEN required THEN field END) AS required_fields, string_agg(DISTINCT category, '|' ORDER BY category) AS categories FROM n JOIN {_VALUES} ON n.schema_type = v.schema_type GROUP BY 1, 2""")
 def schema_template(spark, sf_dir):
-    return template(field_aliases(spark)).select("schema_type", "total_fields", "required_fields", F.array_join("categories", "|").alias("categories"))
+    """The templates of the schemas that a corpus calls for, and how many of its documents each serves."""
+    served = _typed(spark, sf_dir).groupBy(schema_route(F.col("document_type")).alias("schema_type")).agg(F.count("*").alias("documents"))
+    return served.join(F.broadcast(template(field_aliases(spark))), "schema_type").select("schema_type", "documents", "total_fields", "required_fields", F.array_join("categories", "|").alias("categories"))
 
 
 _INVOICE = """WITH l AS (SELECT l_orderkey AS k, round(l_extendedprice * 100)::BIGINT AS c, l_quantity::BIGINT AS q, round(l_discount * 100)::BIGINT AS d, round(l_tax * 100)::BIGINT AS t FROM lineitem JOIN part ON p_partkey = l_partkey),
@@ -217,6 +263,28 @@ def cash_flow_triple_search(spark, sf_dir):
     return statements.first_triple(groups, none, net).select("doc_id", *(F.col(f"triple.{k}.value").alias(k) for k in ("operating", "investing", "financing")))
 
 
+_LEGS = """l AS (SELECT strftime(l_shipdate, '%Y-%m') AS k, l_linenumber AS leg, row_number() OVER (PARTITION BY strftime(l_shipdate, '%Y-%m'), l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS o, round(l_extendedprice * 100)::BIGINT AS c FROM lineitem WHERE l_linenumber <= 3),
+n AS (SELECT k, sum(c)::BIGINT AS net, max(o) AS n FROM l WHERE leg = 1 AND o = 9 OR leg = 2 AND o = 7 OR leg = 3 AND o = 5 GROUP BY 1 HAVING count(*) = 3)"""
+
+
+@query(f"""WITH {_LEGS}, f AS (SELECT k, leg, c, min(o) AS o FROM l GROUP BY 1, 2, 3),
+ab AS (SELECT a.k, a.c + b.c AS c, min((a.o, b.o, a.c, b.c)) AS x FROM f a JOIN f b ON a.k = b.k AND a.leg = 1 AND b.leg = 2 GROUP BY 1, 2),
+w AS (SELECT f.k, o, c, n.net - c + d AS need FROM f JOIN n ON f.k = n.k, range(-5, 6) r(d) WHERE leg = 3),
+r AS (SELECT ab.k, min((x, w.o, w.c)) AS t FROM ab JOIN w ON ab.k = w.k AND ab.c = w.need GROUP BY 1)
+SELECT k AS doc_id, t[1][3] / 100.0::DOUBLE AS operating, t[1][4] / 100.0::DOUBLE AS investing, t[2 + 1] / 100.0::DOUBLE AS financing FROM r""")
+def triple_search_at_length(spark, sf_dir):
+    """Hundreds of values a leg: the lines of a month by their number, one known combination as the net change, the first that meets it found."""
+    from pyspark.sql import Window
+
+    kind = F.element_at(F.array(*map(F.lit, ("operating_cash_flow", "investing_cash_flow", "financing_cash_flow"))), F.col("l_linenumber").cast("int"))
+    x = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.date_format("l_shipdate", "yyyy-MM").alias("doc_id"), kind.alias("kind"), "l_orderkey", "l_partkey", "l_suppkey", F.round("l_extendedprice", 2).alias("value"))
+    groups = x.select("doc_id", "kind", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("l_orderkey", "l_partkey", "l_suppkey", "value")).alias("ord"), "value", F.lit("").alias("source_text"), F.lit(1).alias("page"))
+    known = ((F.col("kind") == "operating_cash_flow") & (F.col("ord") == 9)) | ((F.col("kind") == "investing_cash_flow") & (F.col("ord") == 7)) | ((F.col("kind") == "financing_cash_flow") & (F.col("ord") == 5))
+    net = groups.where(known).groupBy("doc_id").agg(F.round(F.sum("value"), 2).alias("net"), F.count("*").alias("n")).where("n = 3").select("doc_id", "net")
+    none = net.select("doc_id", F.lit(0).alias("ord"), F.lit(0.0).alias("value"))
+    return statements.first_triple(groups, none, net).select("doc_id", *(F.col(f"triple.{k}.value").alias(k) for k in ("operating", "investing", "financing")))
+
+
 @query("SELECT p_brand AS doc_id, p_type AS label, sum(round(p_retailprice * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS current, sum(p_size)::DOUBLE AS comparative FROM part GROUP BY 1, 2")
 def comparative_periods(spark, sf_dir):
     x = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.sum(render.cents(F.col("p_retailprice"))).alias("c"), F.sum("p_size").alias("n"))
@@ -286,17 +354,14 @@ def file_admission(spark, sf_dir):
     return admission.admit(files).select("doc_id", "file_type", "is_supported", "status", "error_code")
 
 
-_NAMES = ["Invoice", "Balance Sheet", "Profit-and-Loss", "Income Statement", "Cash Flow", "BS", "memo", "GST bill"]
-_T = "replace(replace(lower(t), '-', '_'), ' ', '_')"
-_has = lambda c, *names: "(" + " OR ".join(f"contains({c}, '{n}')" for n in names) + ")"
 _ROUTE = f"CASE WHEN {_has(_T, 'invoice')} THEN 'invoice' WHEN {_has(_T, 'balance')} THEN 'balance_sheet' WHEN {_has(_T, 'profit', 'pnl', 'loss', 'income')} THEN 'profit_and_loss' WHEN {_has(_T, 'cash')} THEN 'cash_flow' END"
 
 
 @query(f"""WITH d AS (SELECT doc_id, [{', '.join(map(_quote, _NAMES))}][doc_id % {len(_NAMES)} + 1] AS t FROM documents)
-SELECT doc_id, coalesce({_ROUTE}, 'invoice') AS extractor, {_ROUTE} AS checks, CASE WHEN {_has('lower(t)', 'balance', 'bs')} THEN 'Balance Sheet' WHEN {_has('lower(t)', 'income', 'p&l', 'profit', 'pnl', 'p & l')} THEN 'Income Statement' WHEN {_has('lower(t)', 'cash flow', 'cashflow', 'cf')} THEN 'Cash Flow Statement' WHEN {_has('lower(t)', 'invoice', 'bill')} THEN 'Invoice' END AS schema_type FROM d""")
+SELECT doc_id, coalesce({_ROUTE}, 'invoice') AS extractor, {_ROUTE} AS checks, {_SCHEMA} AS schema_type FROM d""")
 def type_routing(spark, sf_dir):
-    t = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", route(t).alias("extractor"), check_route(t).alias("checks"), schema_route(t).alias("schema_type"))
+    t = F.col("document_type")
+    return _typed(spark, sf_dir).select("doc_id", route(t).alias("extractor"), check_route(t).alias("checks"), schema_route(t).alias("schema_type"))
 
 
 def _log(spark, sf_dir) -> DataFrame:

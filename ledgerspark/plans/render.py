@@ -46,6 +46,13 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("o_orderkey").alias("doc_id"), F.lit("Invoice").alias("document_type"), F.array_join(F.concat(F.array(*head), F.col("items"), F.array(*foot)), "\n").alias("text"))
 
 
+def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A short bill per supplier, for the labelled-line reader."""
+    c = cents(F.col("s_acctbal"))
+    rows = [F.concat(F.lit("Invoice Number  B-"), F.col("s_suppkey").cast("string")), F.concat(F.lit("Subtotal  "), money(c)), F.concat(F.lit("Tax Amount  "), money(F.expr("floor(abs(s_acctbal))").cast("long"))), F.concat(F.lit("Total Due  "), money(c * 2))]
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.lit("Invoice").alias("document_type"), F.concat_ws("\n", *rows).alias("text"))
+
+
 def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, assets, liabilities, equity) in cents per nation; every fifth is out of balance by ten units."""
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(cents(F.col("c_acctbal"))).alias("own"))
