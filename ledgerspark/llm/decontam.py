@@ -173,14 +173,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, hits: str, rate: float = EDIT_RA
     all of it to the documents.
     """
     spark = docs.sparkSession
-    items = benchmark.select("item_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    text_id = isinstance(benchmark.schema["item_id"].dataType, T.StringType)
+    items = benchmark.select(F.col("item_id").cast("string" if text_id else "long").alias("item_id"), "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
     items = running_totals(items, [F.xxhash64("item_id", "text")], ["n"], "benchmark").withColumn("piece", F.floor(F.col("n_before") / pass_chars))
     pieces = [r.piece for r in items.select("piece").distinct().orderBy("piece").collect()] or [0]
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType())]))
-    arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())]))
+    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType() if text_id else T.LongType()), T.StructField("edits", T.IntegerType())]))
+    arrow = pa.list_(pa.struct([("item_id", pa.string() if text_id else pa.int64()), ("edits", pa.int32())]))
+
+    sent = []
 
     def search(rows: DataFrame, piece: int, keep_all: bool) -> DataFrame:
         cast, label = spark.sparkContext.broadcast([(r.item_id, r.text) for r in items.where(F.col("piece") == piece).select("item_id", "text").collect()]), uuid.uuid4().hex
+        sent.append(cast)
         names, at = rows.columns, rows.columns.index("text")
         out = names if keep_all else [c for c in names if c != "text"]
 
@@ -197,7 +201,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, hits: str, rate: float = EDIT_RA
         return search(docs, pieces[0], True)
     row, found = fresh(docs.columns, "row", "found")
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
-    parts = [materialize(search(keyed, k, False).withColumn("piece", F.lit(k)), "decontam-pass") for k in pieces]
+    parts = []
+    for k in pieces:
+        parts.append(materialize(search(keyed, k, False).withColumn("piece", F.lit(k)), "decontam-pass"))
+        sent.pop().destroy()
     every = reduce(DataFrame.union, parts).distinct().groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list(hits)).alias(found))
     out = docs.withColumn(row, F.xxhash64("doc_id", "text")).join(every, row, "left")
     return out.select(*docs.columns, F.coalesce(found, F.array().cast(kind)).alias(hits))
@@ -211,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     about 100 characters, so that the q-gram bound stays positive). Items of fewer than 8 characters have
     no q-gram: a document holds one only if it is all of its text. item_ids is in ascending order, with
     edits beside it. Null or empty text: clean. Null doc_id: a row of its own. Repeated rows and items
-    count each. Very long texts are searched whole. Empty tables: no rows, or all clean. Other columns
+    count each. item_id is an integer or text. Very long texts are searched whole. Empty tables: no rows, or all clean. Other columns
     are ignored, whatever their names.
     """
     found = scan(docs.select("doc_id", "text"), benchmark, "_hits", **options)

@@ -58,7 +58,7 @@ def solve(sizes: DataFrame, targets: DataFrame, cap: int = 2, rounds: int = 60,
     """targets with the multiplier lam of each source; full is true where every rate is at the cap.
 
     Newton steps on the dual, kept inside a bracket that each step narrows (bisection where Newton
-    leaves it).
+    leaves it). Sources that the rounds leave open raise an error.
     """
     counts = materialize(sizes.where("size > 0").groupBy("skey", "size").agg(F.count("*").alias("k")), "mix-counts")
     state = targets.withColumns({
@@ -87,7 +87,10 @@ def solve(sizes: DataFrame, targets: DataFrame, cap: int = 2, rounds: int = 60,
         s = s.withColumns({"lam": F.when(moved, new).otherwise(F.col("lam")), "open": F.coalesce(moved, F.lit(False))})
         state = materialize(s.select(*state.columns), "mix-state")
         if state.where("open").isEmpty():
-            break
+            return state
+    left = state.where("open")
+    if not left.isEmpty():
+        raise RuntimeError(f"{left.count()} sources did not meet their targets within {rounds} rounds")
     return state
 
 

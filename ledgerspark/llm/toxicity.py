@@ -216,7 +216,8 @@ class Restorer:
     def __init__(self, model: np.ndarray, shares: dict[str, float] | None = None, counts: dict[str, tuple[float, float]] | None = None):
         self.model, self.shares, self.counts = model, shares or {}, counts or {}
         self.restored = Recent(REGIONS_BYTES)
-        self.longest = max(map(len, self.shares), default=0) + 32
+        # longer than any word that shares or counts tell of, so a word that is cut there is none of them
+        self.longest = max(map(len, [*self.shares, *self.counts]), default=0) + 32
         self.finders = []
         for starred in (False, True):
             finder = ahocorasick.Automaton()

@@ -17,7 +17,7 @@ from urllib.parse import quote, unquote
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,7 +155,7 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
     Of records whose payloads are equal and of at least min_revisit_bytes bytes, the one with the
     smallest page_id is a response and the others revisit it. Null html: an empty payload. Null url: no
     target URI. Null page_id: last in order; a record of its own. Rows that repeat both page_id and html:
-    the first is the response, the others revisit it and get a number in their record ids. Empty table: an
+    one is the response, the others revisit it and get a number in their record ids. Empty table: an
     empty index. Other columns are ignored, whatever their names. page_id is an integer or text. A very
     long html is a record like others and makes a frame of its own size.
 
@@ -167,28 +167,47 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
     kind = "string" if isinstance(pages.schema["page_id"].dataType, T.StringType) else "long"
     rows = pages.select(F.col("page_id").cast(kind).alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    slim = materialize(rows.where(F.length("payload") >= min_revisit_bytes).select("page_id", "digest"), "warc-digests")
+    slim = materialize(rows.select("page_id", "digest", F.length("payload").alias("bytes"), F.xxhash64("url").alias("site")), "warc-digests")
     # a table of its own: the join then has an exchange on either side, and a hot payload's rows can be split
-    firsts = materialize(slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
-    refs = slim.join(firsts, "digest").select(F.col("page_id").alias("_p"), F.col("digest").alias("_g"), "first").distinct()
-    same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_g"))
-    # one shuffle of the payloads: the join brings rows of one page and payload together, the sort side by side
-    rows = rows.join(refs.hint("merge"), same, "left").sortWithinPartitions("page_id", "digest")
+    large = slim.where(F.col("bytes") >= min_revisit_bytes).select("page_id", "digest")
+    firsts = materialize(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "warc-firsts")
+    refs = large.join(firsts, "digest").select(F.col("page_id").alias("_p"), F.col("digest").alias("_g"), "first").distinct()
+    # rows that repeat page and payload: how many there are of each, and the number of the first
+    same_url = slim.groupBy("page_id", "digest", "site").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("page_id", "digest")
+    below = w.orderBy("site").rowsBetween(Window.unboundedPreceding, -1)
+    many = same_url.withColumns({"all": F.sum("n").over(w), "nth": F.coalesce(F.sum("n").over(below), F.lit(0))}).where(F.col("all") > 1)
+    many = materialize(many.select(F.col("page_id").alias("_q"), F.col("digest").alias("_d"), F.col("site").alias("_s"), "n", "nth"), "warc-repeats")
+
+    def linked(some: DataFrame) -> DataFrame:
+        # one shuffle of the payloads
+        same = F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_g"))
+        return some.join(refs.hint("merge"), same, "left").select("page_id", "url", "payload", "digest", "_g", "first", "nth")
+
+    once = F.lit(0).cast("long").alias("nth")
+    if many.isEmpty():
+        rows = linked(rows.select("*", once))
+    else:
+        # of rows that repeat one is kept and dealt its number of times, so no number depends on where a row is read
+        repeat = rows.withColumn("site", F.xxhash64("url"))
+        hit = repeat["page_id"].eqNullSafe(many["_q"]) & (repeat["digest"] == many["_d"]) & (repeat["site"] == many["_s"])
+        plain = linked(repeat.join(many, hit, "left_anti").select("page_id", "url", "payload", "digest", once))
+        kept = repeat.join(many, hit).dropDuplicates(["page_id", "digest", "site"])
+        numbers = F.explode(F.sequence(F.col("nth"), F.col("nth") + F.col("n") - 1)).alias("nth")
+        rows = plain.unionByName(linked(kept.select("page_id", "url", "payload", "digest", numbers)))
 
     def write(batches):
-        bundle, last, nth = Bundle(f"{root}/part-{uuid.uuid4().hex}.warc.zst", frame_bytes), None, 0
+        bundle = Bundle(f"{root}/part-{uuid.uuid4().hex}.warc.zst", frame_bytes)
 
         def out(index):
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*index, strict=True), (pa.string() if kind == "string" else pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "file", "frame", "frame_offset", "frame_size", "record_offset", "record_size"])
 
         for b in batches:
             index = []
-            columns = [b.column(c) for c in ("page_id", "url", "payload", "digest", "_g", "first")]
+            columns = [b.column(c) for c in ("page_id", "url", "payload", "digest", "_g", "first", "nth")]
             for k in range(b.num_rows):
-                page_id, url, payload, digest, linked, first = (c[k].as_py() for c in columns)
-                nth = nth + 1 if (page_id, digest) == last else 0
-                last = page_id, digest
-                refers = record_id(first, digest) if linked is not None and (page_id != first or nth) else None
+                page_id, url, payload, digest, linked_to, first, nth = (c[k].as_py() for c in columns)
+                refers = record_id(first, digest) if linked_to is not None and (page_id != first or nth) else None
                 index += bundle.add(page_id, record(record_id(page_id, digest, nth), url, payload, refers))
             if index:
                 yield out(index)
@@ -196,7 +215,7 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, frame_bytes: int =
         if index:
             yield out(index)
 
-    return materialize(rows.select("page_id", "url", "payload", "digest", "_g", "first").mapInArrow(write, INDEX.format(kind)), "warc-index")
+    return materialize(rows.mapInArrow(write, INDEX.format(kind)), "warc-index")
 
 
 def read_warc(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
