@@ -13,7 +13,7 @@ from ..functions.numbers import amount, currency, number_text, unit
 from ..functions.text import check_route, field_label, quality_ratios, route, schema_route, similarity
 from ..operators import checks as C
 from ..operators import invoice, lines, matching, rows, statements
-from ..sources import admission, store
+from ..sources import admission, shared, store
 from . import render
 from .process import envelope, extract_text, process_documents, quick_read
 from .registry import ORACLES, QUERIES, query
@@ -157,7 +157,7 @@ def mixed_batch_validation(spark, sf_dir):
     for name, made in kinds.items():
         d = made(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(name).alias("document_type"), "text")
         docs = d if docs is None else docs.unionByName(d)
-    got = quick_read(docs, _SOME)
+    got = quick_read(shared.stored(docs, "mixed-batch"), _SOME)
     x = got.select("doc_id", schema_route(F.col("document_type")).alias("schema_type"), F.explode("validation.errors").alias("e"))
     return x.select("doc_id", "schema_type", "e.field", "e.problem").distinct()
 

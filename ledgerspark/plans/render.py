@@ -6,6 +6,10 @@ nation, a year, a user), so rendering is one aggregation.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +97,86 @@ def cash_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = F.col("op") - F.col("inv") + F.col("fin") + F.when(u % 2 == 0, F.col("adj")).otherwise(0) + F.when(u % 5 == 0, 77_777).otherwise(0)
     rows = [line("Net cash from operating activities", F.col("op")), line("Net cash used in investing activities", -F.col("inv")), line("Net cash from financing activities", F.col("fin")), line("Effect of exchange rate changes", F.col("adj")), line("Net increase in cash", net), line("Opening cash", start), line("Closing cash", start + net)]
     return s.select(u.alias("doc_id"), F.lit("Cash Flow").alias("document_type"), F.concat_ws("\n", *rows).alias("text"))
+
+
+def pdf(texts: list[str], packed: bool = False) -> bytes:
+    """A PDF of a page a text; packed: its objects in an object stream, found by a cross-reference stream."""
+    n = len(texts)
+    kids = " ".join(f"{3 + 2 * k} 0 R" for k in range(n))
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Count {n} /Kids [{kids}] >>".encode()}
+    streams = {}
+    for k, text in enumerate(texts):
+        body = zlib.compress(f"BT (page {k + 1}) Tj ET % {text}".encode())
+        objects[3 + 2 * k] = f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * k} 0 R /MediaBox [0 0 595 842] >>".encode()
+        streams[4 + 2 * k] = f"<< /Length {len(body)} /Filter /FlateDecode >>\nstream\n".encode() + body + b"\nendstream"
+    out, places = bytearray(b"%PDF-1.5\n"), {}
+
+    def add(number: int, body: bytes) -> None:
+        places[number] = (1, len(out), 0)
+        out.extend(b"%d 0 obj\n" % number + body + b"\nendobj\n")
+
+    for number, body in streams.items():
+        add(number, body)
+    last = 3 + 2 * n
+    if not packed:
+        for number, body in objects.items():
+            add(number, body)
+        start = len(out)
+        rows = "".join(f"{places[k][1]:010d} 00000 n \n" for k in range(1, last))
+        out.extend(f"xref\n0 {last}\n0000000000 65535 f \n{rows}trailer\n<< /Size {last} /Root 1 0 R >>\nstartxref\n{start}\n%%EOF\n".encode())
+        return bytes(out)
+    head, bodies = "", b""
+    for k, (number, body) in enumerate(objects.items()):
+        head += f"{number} {len(bodies)} "
+        bodies += body + b" "
+        places[number] = (2, last, k)
+    body = zlib.compress(head.encode() + bodies)
+    add(last, f"<< /Type /ObjStm /N {len(objects)} /First {len(head)} /Length {len(body)} /Filter /FlateDecode >>\nstream\n".encode() + body + b"\nendstream")
+    start = len(out)
+    places[last + 1] = (1, start, 0)
+    table, above = b"", bytes(7)
+    for k in range(last + 2):
+        kind, at, nth = places.get(k, (0, 0, 0))
+        row = bytes([kind]) + at.to_bytes(4, "big") + nth.to_bytes(2, "big")
+        table += b"\x02" + bytes((x - y) & 255 for x, y in zip(row, above, strict=True))
+        above = row
+    body = zlib.compress(table)
+    out.extend(f"{last + 1} 0 obj\n<< /Type /XRef /Size {last + 2} /W [1 4 2] /Root 1 0 R /Length {len(body)} /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 7 >> >>\nstream\n".encode() + body + f"\nendstream\nendobj\nstartxref\n{start}\n%%EOF\n".encode())
+    return bytes(out)
+
+
+def png(text: str) -> bytes:
+    """A grey PNG of one row, its pixels the text's bytes."""
+    row = text.encode() or b"\x00"
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(row), 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\x00" + row)) + chunk(b"IEND", b"")
+
+
+def jpeg(text: str) -> bytes:
+    """The segments of a JPEG: a comment, a frame, and a scan of the text's bytes with stuffed bytes and restarts."""
+    part = lambda mark, body: bytes([255, mark]) + struct.pack(">H", 2 + len(body)) + body
+    scan = text.encode()[:100_000].replace(b"e", b"\xff\x00").replace(b"o", b"\xff\xd3")
+    return b"\xff\xd8" + part(0xFE, text.encode()[:1000]) + part(0xC0, b"\x08\x00\x01\x00\x01\x01\x01\x11\x00") + part(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + b"\xff\xd9"
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, file_name, content_type, length, content): each document as a PDF of none to four pages, packed or plain, a PNG or a
+    JPEG; of every seventh the second half is gone, and in every fifth PNG a byte is changed."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            ids, names, made = b.column(0).to_pylist(), [], []
+            for i, text in zip(ids, b.column(1).to_pylist(), strict=True):
+                kind = ("pdf", "pdf", "png", "jpg")[i % 4]
+                names.append(f"scan {i}.{kind}")
+                data = png(text) if kind == "png" else jpeg(text) if kind == "jpg" else pdf([text] * (i // 4 % 5), i % 4 == 1)
+                if i % 7 == 0:
+                    data = data[: len(data) // 2]
+                elif kind == "png" and i % 5 == 0:
+                    k = len(data) - 20
+                    data = data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :]
+                made.append(data)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array([None] * len(ids), pa.string()), pa.array([len(x) for x in made], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "file_name", "content_type", "length", "content"])
+
+    return rows.mapInArrow(run, "doc_id long, file_name string, content_type string, length long, content binary")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import indian_format
 from ..operators import checks as C
 from ..operators import invoice, lines, rows, statements
-from ..sources import store
+from ..sources import admission, ledger, pages, shared, store
 from . import render
 from .process import extract_text, process_documents, read_documents, summary
 from .registry import query
@@ -214,3 +214,40 @@ def indian_numbers(spark, sf_dir):
     """Amounts as dashboards print them, in groups of lakh and crore."""
     sign = F.when(F.col("doc_id") % 2 == 0, -1).otherwise(1)
     return _orders(spark, sf_dir).select("doc_id", indian_format(F.col("c") * (F.col("doc_id") % 5 + 1) * sign / F.lit(100.0)).alias("shown"))
+
+
+def _ledger(spark, sf_dir) -> str:
+    """The events as results in four batches: one runs twice, and the view is brought up to date after the second and the third."""
+    path, e = shared.shared_path(spark, "ledger"), _log(spark, sf_dir).withColumn("result_json", F.concat(F.lit("{"), F.col("seq").cast("string"), F.lit("}")))
+    for batch in range(4):
+        part = e.where(F.floor(F.col("seq") / 10) % 4 == batch)
+        ledger.commit(part, path, batch)
+        if batch in (1, 2):
+            ledger.commit(part, path, batch)
+            ledger.compact(spark, path)
+    return path
+
+
+_EVENTS_LOG = """SELECT user_id::VARCHAR AS document_name, md5(user_id::VARCHAR) AS id, event_type AS document_type, event_id AS seq, b AS batch, first AS created_at FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, b DESC, event_id DESC) AS r, min(ts) OVER (PARTITION BY user_id) AS first FROM (SELECT *, (event_id // 10) % 4 AS b FROM events)) WHERE r = 1"""
+
+
+@query(_EVENTS_LOG)
+def upsert_latest(spark, sf_dir):
+    """Results upserted by name in committed batches: one row a document, its id and the time of its first row kept."""
+    return ledger.latest(spark, _ledger(spark, sf_dir)).select("document_name", "id", "document_type", "seq", "batch", "created_at")
+
+
+@query(f"SELECT document_name, document_type, seq, batch, created_at FROM ({_EVENTS_LOG}) WHERE document_name = '7'")
+def ledger_lookup(spark, sf_dir):
+    """One document of the ledger: its bucket of the view, and of the batches since then."""
+    return ledger.latest(spark, _ledger(spark, sf_dir), "7").select("document_name", "document_type", "seq", "batch", "created_at")
+
+
+@query("""WITH f AS (SELECT doc_id, ['pdf', 'pdf', 'png', 'jpg'][doc_id % 4 + 1] AS e, (doc_id // 4) % 5 AS n, doc_id % 7 = 0 OR doc_id % 4 = 2 AND doc_id % 5 = 0 AS broken FROM documents)
+SELECT doc_id, NOT broken AS is_readable, CASE WHEN NOT broken THEN CASE WHEN e = 'pdf' THEN n ELSE 1 END END::INTEGER AS page_count, CASE WHEN broken OR e = 'pdf' AND n NOT BETWEEN 1 AND 3 THEN 'FAILED' ELSE 'PASS' END AS status,
+CASE WHEN broken OR e = 'pdf' AND n NOT BETWEEN 1 AND 3 THEN 'INVALID_FILE_ERROR' END AS error_code FROM f""")
+def file_readability(spark, sf_dir):
+    """The documents as files: those that are cut or changed are refused, and those with no page or with four."""
+    got = admission.admit(pages.inspect(render.files(spark, sf_dir)))
+    return got.select("doc_id", "is_readable", "page_count", "status", "error_code")

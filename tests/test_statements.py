@@ -10,7 +10,6 @@ from ledgerspark.plans.process import extract_text, process_documents, read_docu
 from ledgerspark.sources import store
 from ledgerspark.sources.admission import admit
 from ledgerspark.sources.files import read_files, read_texts
-from ledgerspark.streaming.landing import watch
 from pyspark.sql import functions as F
 
 DOC = "doc_id string, document_type string, text string"
@@ -172,16 +171,3 @@ def test_log_and_exports(spark, tmp_path):
     store.write_csv(matching.period_table(cells, ["P1", "P2"]), f"file://{tmp_path}/csv")
     assert sorted(tuple(r) for r in spark.read.option("header", True).csv(f"file://{tmp_path}/csv").collect()) == [("d", "x", "5", None), ("d", "y", None, "7")]
     spark.sql("DROP TABLE results_log")
-
-
-def test_landing_stream(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    run = lambda: watch(spark, f"file://{tmp_path}/in", "Balance Sheet", f"file://{tmp_path}/log", f"file://{tmp_path}/state").awaitTermination()
-    (tmp_path / "in/a.txt").write_text(SHEET)
-    run()
-    (tmp_path / "in/b.txt").write_text("no figures here")
-    run()
-    run()  # nothing new
-    log = spark.read.parquet(f"file://{tmp_path}/log")
-    assert sorted((r.document_name, r.processing_status, r.seq) for r in log.collect()) == [("a.txt", "PASS", 0), ("b.txt", "FAILED", 1)]
-    assert '"total_assets"' in store.get_latest(spark, f"file://{tmp_path}/log", "a.txt").first().result_json
