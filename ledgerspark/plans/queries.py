@@ -385,4 +385,4 @@ def label_normalise(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", field_label(F.concat("p_name", F.lit("\t"), "p_brand")).alias("label"))
 
 
-from . import statement_queries  # noqa: E402, F401  registers its own
+from . import reading_queries, statement_queries  # noqa: E402, F401  register their own

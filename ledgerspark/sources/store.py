@@ -60,3 +60,8 @@ def write_json(envelopes: DataFrame, path: str) -> None:
 def write_csv(field_table: DataFrame, path: str) -> None:
     """A table of fields by periods (matching.period_table()) as CSV files with a header; nulls are empty."""
     field_table.write.mode("errorifexists").option("header", True).option("nullValue", "").csv(path)
+
+
+def write_csv_per_document(csv: DataFrame, path: str) -> None:
+    """One CSV file a document of csv(doc_id, csv), in a folder named by its id (matching.csv_texts())."""
+    csv.select("doc_id", "csv").write.mode("errorifexists").partitionBy("doc_id").text(path)
