@@ -184,10 +184,11 @@ def search(embeddings: DataFrame, every: int = EVERY, top: int = TOP, scale: int
     heads = buckets.groupBy("grp").agg(F.max("norm").alias("norm"))
     last = heads.agg(F.max("grp")).first()[0]
     step = -(-((last or 0) + 1) // MARKS)
-    marks = sorted((g, float(np.sqrt(m))) for g, m in heads.where(F.col("grp") % step == 0).collect())
-    held = F.array(*(F.lit(m) for _, m in marks)) if marks else F.array().cast("array<double>")
-    far = F.size(F.filter(held, lambda m: m >= F.col("need"))) * step - 1
-    visits = queries.select("slice", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(far, F.lit(last or 0))))).alias("grp"))
+    # by number, as a group may have no rows
+    marks = heads.groupBy(F.expr(f"grp div {step}").alias("mark")).agg(F.max("norm").alias("norm")).orderBy("mark").collect()
+    held = F.array(*(F.struct(F.lit(r.mark).alias("mark"), F.lit(float(np.sqrt(r.norm))).alias("length")) for r in marks)) if marks else F.array().cast("array<struct<mark:long,length:double>>")
+    far = (F.coalesce(F.array_max(F.filter(held, lambda m: m["length"] >= F.col("need")))["mark"], F.lit(0)) + 1) * step - 1
+    visits = queries.select("slice", F.explode(F.sequence(F.lit(0), F.least(far, F.lit(last or 0)).cast("int"))).alias("grp"))
     visits = materialize(visits, "norm-visits")
     left = buckets.join(visits.withColumnRenamed("slice", "asked"), "grp")
     right = queries.join(visits.withColumnRenamed("grp", "group"), "slice")

@@ -119,6 +119,17 @@ def test_search(spark, mixed, group, slice_):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_search(mixed)
 
 
+@pytest.mark.parametrize("marks", [1024, 3])
+def test_search_with_empty_groups(spark, monkeypatch, marks):
+    """More groups than lengths: some hold no rows, and the last that a query needs is found by number."""
+    monkeypatch.setattr(norm_search, "MARKS", marks)
+    monkeypatch.setattr(norm_search, "SEED", 0)
+    random = Random(3)
+    rows = [(k, [random.choice([-1.0, 1.0]) * random.choice([0.5, 0.5, 4.0]) for _ in range(6)], 0) for k in range(140)] + [(200 + k, [8.0] * 6, 0) for k in range(60)]
+    got = norm_search.search(vectors_of(spark, rows), group=12, slice_=24)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == plain_search(rows)
+
+
 def test_search_of_few_and_of_large(spark, mixed):
     few = [(20, [1.0, 2.0], 1), (21, [0.5], 1), (40, [-1.0, -1.0], 1)]
     run = lambda rows, **k: sorted((tuple(r) for r in norm_search.search(vectors_of(spark, rows), **k).collect()), key=repr)
