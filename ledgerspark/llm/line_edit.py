@@ -6,10 +6,18 @@ own down to t less, the substrings that a segment of such a line could be (the m
 of Li et al., 2011). Lines are made distinct before any key is joined, so a line that stands in every
 document has its keys once. Candidates pass a bound on character and bigram parities inside the join and
 are verified with banded bit-parallel edit distance.
+
+A segment that many different lines of one length share (log lines, page footers) would join all with all.
+Such a hot key is not joined: its lines are cut a second time, where they differ, and the key goes on
+together with each of the new segments. By the same argument a pair within t edits shares one of these too, so
+no link is lost. What is still hot is cut again, up to DEPTH times.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,6 +34,13 @@ BUDGETS = ((8, 1), (20, 2))
 #: the rest. Where most of a filter is set more rows go through a shuffle, and results stay the same.
 FILTER_BITS = 22
 
+#: Different lines that may have one segment as their own before it counts as hot.
+HOT = 64
+#: How often the lines of hot keys are cut anew; keys still hot then are joined as they are.
+DEPTH = 3
+#: Lines of a hot key, about, that its new cuts are chosen by. They decide the work, not the result.
+CUT_LINES = 64
+
 _CHAR_BITS, _PAIR_BITS = 23, 40
 _CHARS, _PAIRS = (1 << _CHAR_BITS) - 1, ((1 << _PAIR_BITS) - 1) << _CHAR_BITS
 _ROWS = 512
@@ -58,10 +73,11 @@ def segments(n: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def windows(n: int, length: int, edits: int) -> list[tuple[int, int, int]]:
-    """(segment, start, size) of the substrings of a line of n characters to look up among lines of length characters."""
+def windows(n: int, length: int, edits: int, parts: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
+    """(segment, start, size) of the substrings of a line of n characters to look up among lines of length
+    characters, which are cut into parts, edits + 1 of them; segments() where none are given."""
     out, gap = [], n - length
-    for k, (at, size) in enumerate(segments(length, edits)):
+    for k, (at, size) in enumerate(parts or segments(length, edits)):
         low = max(at - k, at + gap - (edits - k), 0)
         high = min(at + k, at + gap + (edits - k), n - size)
         out += [(k, start, size) for start in range(low, high + 1)]
@@ -85,6 +101,26 @@ def plan(n: int, budgets=BUDGETS) -> tuple[list[tuple[int, int, int]], int, int]
     return keys, len(index), len(same)
 
 
+def cuts(lines: list[str], edits: int) -> list[tuple[int, int]]:
+    """(start, length) of edits + 1 segments of lines of one length, between which the entropy of the columns is
+    spread evenly. Of very long lines only the first few by order are looked at."""
+    n = len(lines[0])
+    if n <= edits:
+        return segments(n, edits)
+    lines = sorted(lines)[: max(2, 4_000_000 // n)]
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(lines), n)
+    weight = np.full(n, 1e-6)
+    for j in range(0, n, 4096):
+        some = codes[:, j : j + 4096]
+        weight[j : j + 4096] -= np.log2((some[:, None] == some[None]).mean(0)).mean(0)
+    total, ends = np.cumsum(weight), [0]
+    for k in range(1, edits + 1):
+        at = int(np.searchsorted(total, total[-1] * k / (edits + 1))) + 1
+        ends.append(min(max(at, ends[-1] + 1), n - (edits + 1 - k)))
+    ends.append(n)
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def parities(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """63 bits for each of the lines that begin at starts: parities of hashed characters (23) and character pairs (40)."""
     c, one = codes.astype(np.uint64), np.uint64(1)
@@ -199,32 +235,144 @@ def line_keys(docs: DataFrame, found: DataFrame, budgets=BUDGETS) -> DataFrame:
     return made.where("NOT maybe").select(columns).union(materialize(again, "line-keys-once"))
 
 
-def candidates(keyed: DataFrame, edits: int) -> DataFrame:
-    """Pairs (a, b) of ids of different lines of line_keys() that share a segment and pass the parity bounds."""
+def _sides(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, a, x) of the segments and (key, b, y) of the probes of line_keys(); a negative y looks among lines of its own length."""
     i = keyed.select(F.explode(F.slice("keys", F.lit(1), F.col("n_index"))).alias("key"), F.col("id").alias("a"), F.col("sig").alias("x"))
     p = keyed.select(F.posexplode("keys").alias("at", "key"), F.col("id").alias("b"), "sig", "n_same")
-    # the sign tells keys that look among lines of the same length
-    p = p.select("key", "b", F.when(F.col("at") < F.col("n_same"), F.col("sig").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("sig")).alias("y"))
+    return i, p.select("key", "b", F.when(F.col("at") < F.col("n_same"), F.col("sig").bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.col("sig")).alias("y"))
+
+
+def _meet(i: DataFrame, p: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of _sides() that share a key and pass the parity bounds; a pair may come more than once."""
     differ = F.col("x").bitwiseXOR(F.col("y"))
     # an edit changes two characters and four pairs at most
     near = (F.bit_count(differ.bitwiseAND(F.lit(_CHARS))) <= 2 * edits) & (F.bit_count(differ.bitwiseAND(F.lit(_PAIRS))) <= 4 * edits)
-    return i.join(p, (i["key"] == p["key"]) & near & ((F.col("y") >= 0) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    return i.join(p, (i["key"] == p["key"]) & near & ((F.col("y") >= 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
-def links(docs: DataFrame, found: DataFrame, budgets=BUDGETS) -> DataFrame:
-    """Pairs (a, b) of ids of different lines of docs(text) within their budget of edits, each once; found: occurrences()."""
-    pairs = materialize(candidates(line_keys(docs, found, budgets), max(e for _, e in budgets)), "line-candidates")
-    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _hot(i: DataFrame, label: str) -> DataFrame | None:
+    """(key, n) of the keys that more than HOT lines have as their own; None if there are none."""
+    hot = materialize(i.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), label)
+    return None if hot.isEmpty() else hot
+
+
+def texts_of(docs: DataFrame, need: DataFrame, label: str) -> DataFrame:
+    """(id, line) of the lines of docs(text) whose ids are in need(id), each once."""
     cast, mask = docs.sparkSession.sparkContext.broadcast(_bits(need)), (1 << FILTER_BITS) - 1
 
-    def texts(batches):
+    def run(batches):
         for _, texts in _slices(batches, 0):
             lines = {x for t in texts for x in t if x}
             some = {x: h for x in lines if cast.value[(h := xxhash.xxh3_64_intdigest(x)) & mask]}
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(some.values()), np.uint64).view(np.int64)), pa.array(list(some), pa.string())], names=["id", "line"])
 
-    text = docs.select("text").mapInArrow(texts, "id long, line string").join(need, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    text = materialize(text, "line-texts")
+    text = docs.select("text").mapInArrow(run, "id long, line string").join(need, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    return materialize(text, label)
+
+
+_CUT_ROW = "key long, id long, sig long, own boolean, length int, edits int, line string"
+
+
+def _first_rows(text: DataFrame, budgets) -> DataFrame:
+    """(key, id, sig, own, length, edits, line) of every key of text(id, line): own for a segment, else a probe
+    among lines of length characters, with a negative sig where that is the line's own length."""
+
+    def made(batches):
+        for b in batches:
+            for i, line in zip(b.column(0), b.column(1), strict=True):
+                i, line = i.as_py(), line.as_py()
+                raw, (keys, index, same) = line.encode("utf-32-le", "surrogatepass"), plan(len(line), budgets)
+                sig = int(parities(np.frombuffer(raw, "<u4"), np.array([0])).view(np.int64)[0])
+                for at, (seed, start, end) in enumerate(keys):
+                    key = int(np.uint64(xxhash.xxh3_64_intdigest(raw[4 * start : 4 * end], seed)).view(np.int64))
+                    like = seed >> 4, edits_of(seed >> 4, budgets), line
+                    if at < index:
+                        yield key, i, sig, True, *like
+                    yield key, i, sig | -(1 << 63) if at < same else sig, False, *like
+
+    def run(batches):
+        return _cut_batches(made(batches))
+
+    return text.mapInArrow(run, _CUT_ROW)
+
+
+def _cut_batches(rows) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+    names, held, size = [c.split()[0] for c in _CUT_ROW.split(", ")], [], 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size > 4_000_000 or len(held) == 16_384:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def _cut_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows as _first_rows() gives them whose key is in hot(key, n), each with the keys of a new cut in place of its own."""
+    share = F.greatest(F.lit(1), F.floor(F.col("n") / CUT_LINES))
+    some = rows.where("own").join(hot, "key").where(F.pmod(F.xxhash64("id"), share) == 0)
+
+    def choose(batches):
+        for b in batches:
+            got = [[y for at in cuts(x, e) for y in at] for x, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], names=["key", "parts"])
+
+    found = some.groupBy("key").agg(F.collect_list("line").alias("lines"), F.first("edits").alias("edits")).mapInArrow(choose, "key long, parts array<int>")
+    # a key of which chance leaves no line here is cut evenly below; the rows of a hot key are dealt over several tasks
+    salts = 16
+    known = hot.select("key").join(found, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("salt", F.pmod("id", F.lit(salts)).cast("int")).join(known, ["key", "salt"])
+
+    def made(batches):
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                key, i, sig, own, length, edits, line, flat = (x.as_py() for x in row)
+                parts = list(zip(flat[::2], flat[1::2], strict=True)) if flat else segments(length, edits)
+                raw = line.encode("utf-32-le", "surrogatepass")
+                at = [(g, a, n) for g, (a, n) in enumerate(parts)] if own else windows(len(line), length, edits, parts)
+                for g, a, n in at:
+                    new = xxhash.xxh3_64_intdigest(raw[4 * a : 4 * (a + n)], xxhash.xxh3_64_intdigest(f"{key} {g}"))
+                    yield int(np.uint64(new).view(np.int64)), i, sig, own, length, edits, line
+
+    def run(batches):
+        return _cut_batches(made(batches))
+
+    return dealt.select("key", "id", "sig", "own", "length", "edits", "line", "parts").mapInArrow(run, _CUT_ROW)
+
+
+def candidates(docs: DataFrame, keyed: DataFrame, budgets=BUDGETS) -> DataFrame:
+    """Pairs (a, b) of ids of different lines of docs(text), by line_keys(), that share a segment, and where that
+    is hot a segment of each further cut, and pass the parity bounds."""
+    edits = max(e for _, e in budgets)
+    i, p = _sides(keyed)
+    hot = _hot(i, "line-hot")
+    if hot is None:
+        return _meet(i, p, edits).distinct()
+    cold = lambda side: side.join(hot.select("key"), "key", "left_anti")
+    out = [_meet(cold(i), cold(p), edits)]
+    need = p.join(hot, "key", "left_semi").select(F.col("b").alias("id")).distinct()
+    rows = _first_rows(texts_of(docs, need, "line-hot-texts"), budgets)
+    for level in range(DEPTH):
+        rows = materialize(_cut_rows(rows, hot), f"line-cut-{level}")
+        i = rows.where("own").select("key", F.col("id").alias("a"), F.col("sig").alias("x"))
+        p = rows.where("NOT own").select("key", F.col("id").alias("b"), F.col("sig").alias("y"))
+        hot = _hot(i, f"line-hot-{level}") if level + 1 < DEPTH else None
+        if hot is None:
+            out.append(_meet(i, p, edits))
+            break
+        out.append(_meet(cold(i), cold(p), edits))
+    return reduce(DataFrame.union, out).distinct()
+
+
+def links(docs: DataFrame, found: DataFrame, budgets=BUDGETS) -> DataFrame:
+    """Pairs (a, b) of ids of different lines of docs(text) within their budget of edits, each once; found: occurrences()."""
+    pairs = materialize(candidates(docs, line_keys(docs, found, budgets), budgets), "line-candidates")
+    need = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    text = texts_of(docs, need, "line-texts")
 
     def verify(batches):
         for b in batches:

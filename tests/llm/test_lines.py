@@ -97,3 +97,51 @@ def test_dedup(spark):
     assert got == {1: rows[0][1], 2: "own words in the second\n", 3: None, 4: "", 5: "", None: ""}
     out = line_edit.dedup(docs_of(spark, rows))
     assert out.columns == docs_of(spark, rows).columns and out.count() == len(rows)
+
+
+def test_cuts_of_any_place_find_what_is_near():
+    """Any cut into edits + 1 segments serves, not only an even one: a window of the longer line equals a segment of the shorter."""
+    random = Random(4)
+    for _ in range(3000):
+        edits, a = random.choice([1, 2]), "".join(random.choice("ab1") for _ in range(random.randint(6, 14)))
+        b = list(a)
+        for _ in range(random.randint(0, edits)):
+            k = random.randrange(len(b))
+            random.choice([lambda: b.pop(k), lambda: b.insert(k, "z"), lambda: b.__setitem__(k, "y")])()  # noqa: B023
+        short, long = sorted(["".join(b), a], key=len)
+        ends = [0, *sorted(random.sample(range(1, len(short)), edits)), len(short)]
+        parts = [(x, y - x) for x, y in zip(ends, ends[1:])]
+        assert any(long[at : at + n] == short[parts[g][0] :][:n] for g, at, n in line_edit.windows(len(long), len(short), edits, parts))
+
+
+def test_cuts_lie_where_lines_differ():
+    lines = [f"{'same words at the start ' * 3}{k * 2654435761 % 2**32:08x}{' and at the end' * 4}" for k in range(64)]
+    (_, first), (at, size), _ = line_edit.cuts(lines, 2)
+    assert 72 < first < 77 and 76 <= at + size < 80
+    assert line_edit.cuts(["abc"] * 3, 2) == [(0, 1), (1, 1), (2, 1)] and line_edit.cuts(["ab"], 2) == line_edit.segments(2, 2)
+
+
+def test_hot_segments_against_all_pairs(spark, monkeypatch):
+    """Lines of one layout share two hot segments; near pairs of every kind are still found, through every depth."""
+    monkeypatch.setattr(line_edit, "HOT", 3)
+    random = Random(6)
+    lines = []
+    for k in range(150):
+        code = "".join(random.choice("01") for _ in range(7))
+        lines.append(f"request {code} was answered in {random.randint(1, 3)} ms")
+        if k % 5 == 0:
+            lines.append(random.choice([lines[-1][:-1], "x" + lines[-1], lines[-1].replace("was", "is"), lines[-1].replace("answered", "answerd")]))
+    rows = [(k, x) for k, x in enumerate(lines)]
+    got = Counter((r.doc_id, r.line_no, r.line_id, r.class_id, r.n_links, r.kept) for r in line_edit.near_lines(docs_of(spark, rows)).collect())
+    assert got == brute(rows)
+
+
+def test_candidates_of_a_hot_layout_grow_with_the_lines(spark):
+    """Lines that differ in 16 hex digits only: none are near, and twice the lines are not four times the candidates."""
+    counts = []
+    for n in (4000, 8000):
+        random = Random(2)
+        docs = docs_of(spark, [(k, f"GET /api/v1/items/{random.getrandbits(64):016x} answered with status 200 in time") for k in range(n)])
+        keyed = line_edit.line_keys(docs, line_edit.occurrences(docs.selectExpr("1L AS `row`", "doc_id", "text")))
+        counts.append(line_edit.candidates(docs, keyed).count())
+    assert counts[1] <= 100, counts
