@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import drop_percent, looks_like_number
 from ..operators import checks, invoice, lines, matching, rows, statements
+from ..sources import folder, shared, store
 from . import render
 from .process import envelope, extract_text, process_documents
 from .registry import query
@@ -155,3 +156,13 @@ def subset_at_length(spark, sf_dir):
     some = F.round(F.sum(F.when(F.col("i").isin(1, 2, 9, 17, 20), F.col("v")).otherwise(0.0)), 2)
     cases = x.groupBy("doc_id").agg(F.lit(0.0).alias("base"), some.alias("net"), F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda a: a["v"]).alias("adjustments"))
     return checks.first_subset(cases)
+
+
+@query("SELECT s_suppkey AS doc_id, (strlen(s_name) + strlen(CAST(s_acctbal AS DECIMAL(18,2))::VARCHAR) + 2)::BIGINT AS length, s_name || chr(10) || CAST(s_acctbal AS DECIMAL(18,2))::VARCHAR || chr(10) AS text FROM supplier")
+def folder_files(spark, sf_dir):
+    """One file a supplier, written by write_csv_per_document() and read back by the folder source: rows of a whole folder tree."""
+    path = shared.shared_path(spark, "folder")
+    lines_ = F.concat_ws("\n", "s_name", F.col("s_acctbal").cast("decimal(18,2)").cast("string"))
+    store.write_csv_per_document(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), lines_.alias("csv")), path)
+    files = folder.read_folder(spark, path, recursive="true").where("file_name LIKE '%.txt'")
+    return files.select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "length", F.decode("content", "UTF-8").alias("text"))
