@@ -270,11 +270,11 @@ def texts_of(docs: DataFrame, need: DataFrame, label: str) -> DataFrame:
     return materialize(text, label)
 
 
-_CUT_ROW = "key long, id long, sig long, own boolean, length int, edits int, line string"
+_CUT_ROW = "key long, id long, sig long, own boolean, length int, edits int"
 
 
 def _first_rows(text: DataFrame, budgets) -> DataFrame:
-    """(key, id, sig, own, length, edits, line) of every key of text(id, line): own for a segment, else a probe
+    """(key, id, sig, own, length, edits) of every key of text(id, line): own for a segment, else a probe
     among lines of length characters, with a negative sig where that is the line's own length."""
 
     def made(batches):
@@ -285,7 +285,7 @@ def _first_rows(text: DataFrame, budgets) -> DataFrame:
                 sig = int(parities(np.frombuffer(raw, "<u4"), np.array([0])).view(np.int64)[0])
                 for at, (seed, start, end) in enumerate(keys):
                     key = int(np.uint64(xxhash.xxh3_64_intdigest(raw[4 * start : 4 * end], seed)).view(np.int64))
-                    like = seed >> 4, edits_of(seed >> 4, budgets), line
+                    like = seed >> 4, edits_of(seed >> 4, budgets)
                     if at < index:
                         yield key, i, sig, True, *like
                     yield key, i, sig | -(1 << 63) if at < same else sig, False, *like
@@ -298,23 +298,25 @@ def _first_rows(text: DataFrame, budgets) -> DataFrame:
 
 def _cut_batches(rows) -> Iterator[pa.RecordBatch]:
     """Rows in batches of bounded size."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
-    names, held, size = [c.split()[0] for c in _CUT_ROW.split(", ")], [], 0
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+    names, held = [c.split()[0] for c in _CUT_ROW.split(", ")], []
     made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
     for row in rows:
         held.append(row)
-        size += len(row[-1])
-        if size > 4_000_000 or len(held) == 16_384:
+        if len(held) == 16_384:
             yield made()
-            held, size = [], 0
+            held = []
     if held:
         yield made()
 
 
-def _cut_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows as _first_rows() gives them whose key is in hot(key, n), each with the keys of a new cut in place of its own."""
+def _cut_rows(rows: DataFrame, hot: DataFrame, text: DataFrame) -> DataFrame:
+    """Rows as _first_rows() gives them whose key is in hot(key, n), each with the keys of a new cut in place of its own.
+
+    A line of text(id, line) moves once, to the list of its hot keys, whose number the line's length and budget bound.
+    """
     share = F.greatest(F.lit(1), F.floor(F.col("n") / CUT_LINES))
-    some = rows.where("own").join(hot, "key").where(F.pmod(F.xxhash64("id"), share) == 0)
+    some = rows.where("own").join(hot, "key").where(F.pmod(F.xxhash64("id"), share) == 0).join(text, "id").select("key", "line", "edits")
 
     def choose(batches):
         for b in batches:
@@ -326,22 +328,25 @@ def _cut_rows(rows: DataFrame, hot: DataFrame) -> DataFrame:
     salts = 16
     known = hot.select("key").join(found, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("salt", F.pmod("id", F.lit(salts)).cast("int")).join(known, ["key", "salt"])
+    lists = dealt.groupBy("id").agg(F.collect_list(F.struct("key", "sig", "own", "length", "edits", "parts")).alias("keys"))
 
     def made(batches):
         for b in batches:
-            for row in zip(*b.columns, strict=True):
-                key, i, sig, own, length, edits, line, flat = (x.as_py() for x in row)
-                parts = list(zip(flat[::2], flat[1::2], strict=True)) if flat else segments(length, edits)
+            for i, keys, line in zip(*b.columns, strict=True):
+                i, line = i.as_py(), line.as_py()
                 raw = line.encode("utf-32-le", "surrogatepass")
-                at = [(g, a, n) for g, (a, n) in enumerate(parts)] if own else windows(len(line), length, edits, parts)
-                for g, a, n in at:
-                    new = xxhash.xxh3_64_intdigest(raw[4 * a : 4 * (a + n)], xxhash.xxh3_64_intdigest(f"{key} {g}"))
-                    yield int(np.uint64(new).view(np.int64)), i, sig, own, length, edits, line
+                for x in keys.as_py():
+                    key, flat, length, edits = x["key"], x["parts"], x["length"], x["edits"]
+                    parts = list(zip(flat[::2], flat[1::2], strict=True)) if flat else segments(length, edits)
+                    at = [(g, a, n) for g, (a, n) in enumerate(parts)] if x["own"] else windows(len(line), length, edits, parts)
+                    for g, a, n in at:
+                        new = xxhash.xxh3_64_intdigest(raw[4 * a : 4 * (a + n)], xxhash.xxh3_64_intdigest(f"{key} {g}"))
+                        yield int(np.uint64(new).view(np.int64)), i, x["sig"], x["own"], length, edits
 
     def run(batches):
         return _cut_batches(made(batches))
 
-    return dealt.select("key", "id", "sig", "own", "length", "edits", "line", "parts").mapInArrow(run, _CUT_ROW)
+    return lists.join(text, "id").select("id", "keys", "line").mapInArrow(run, _CUT_ROW)
 
 
 def candidates(docs: DataFrame, keyed: DataFrame, budgets=BUDGETS) -> DataFrame:
@@ -355,9 +360,10 @@ def candidates(docs: DataFrame, keyed: DataFrame, budgets=BUDGETS) -> DataFrame:
     cold = lambda side: side.join(hot.select("key"), "key", "left_anti")
     out = [_meet(cold(i), cold(p), edits)]
     need = p.join(hot, "key", "left_semi").select(F.col("b").alias("id")).distinct()
-    rows = _first_rows(texts_of(docs, need, "line-hot-texts"), budgets)
+    text = texts_of(docs, need, "line-hot-texts")
+    rows = _first_rows(text, budgets)
     for level in range(DEPTH):
-        rows = materialize(_cut_rows(rows, hot), f"line-cut-{level}")
+        rows = materialize(_cut_rows(rows, hot, text), f"line-cut-{level}")
         i = rows.where("own").select("key", F.col("id").alias("a"), F.col("sig").alias("x"))
         p = rows.where("NOT own").select("key", F.col("id").alias("b"), F.col("sig").alias("y"))
         hot = _hot(i, f"line-hot-{level}") if level + 1 < DEPTH else None
