@@ -149,7 +149,11 @@ def _vectors(counted: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _meeting(hosts: pa.Table, guests: pa.Table) -> pa.Table:
-    """(lang, a, b, value) of one block: each host with each guest; with no guests, each host with those after it."""
+    """(lang, a, b, value) of one block: each host with each guest; with no guests, each host with those after it by name.
+
+    The rows of a block come in any order, and a pair's blocks are added up by (a, b), so all of them have to name it alike.
+    """
+    hosts = hosts.sort_by("source")
     dense = lambda t: [unpack(v, w, n) for v, w, n in zip(*(t.column(c).to_pylist() for c in ("vec", "width", "none")), strict=True)]
     a, b, value = [], [], []
     names = hosts.column("source").to_pylist()

@@ -103,3 +103,34 @@ def test_hosts_stay_in_their_buckets(spark, mixed):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     spark.sql("DROP TABLE vectors_of_test")
+
+
+def test_a_pair_has_one_name_in_all_blocks():
+    """Groups that share a seat may stand in another order in each block; a pair's parts are added up all the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    def block(order, shares):
+        vec = [divergence.pack(np.arange(2), np.array(shares[s])) for s in order]
+        return pa.table({"lang": ["en"] * len(order), "source": order, "width": pa.array([2] * len(order), pa.int32()), "none": pa.array([1] * len(order), pa.int32()), "vec": vec})
+
+    shares = {"a": [5, 7], "b": [9, 9], "c": [1, 2]}
+    want = {("a", "b"): 6, ("a", "c"): 9, ("b", "c"): 15}
+    for order in (["a", "b", "c"], ["c", "a", "b"], ["b", "c", "a"]):
+        hosts = block(order, shares)
+        got = divergence._meeting(hosts, hosts.slice(0, 0)).to_pylist()
+        assert {(r["a"], r["b"]): r["value"] for r in got} == want
+
+
+def test_many_blocks_without_coalescing(spark, mixed, monkeypatch):
+    """Shuffles that are not put together again bring the groups of a seat in another order in each block."""
+    monkeypatch.setattr(divergence, "BLOCK", 7)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "13"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert sorted(tuple(r) for r in divergence.audit(docs_of(spark, mixed)).collect()) == plain(mixed)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
