@@ -140,6 +140,16 @@ def test_value_above_its_label(spark):
     assert (got.operating_cash_flow.value, got.investing_cash_flow.value, got.net_change_in_cash.value) == (61.0, -20.0, 31.0)
 
 
+def test_values_of_other_fields_repair_nothing(spark):
+    """Opening cash happens to complete the net change: it is no leg, and what adds up as printed stays as printed."""
+    wrong = "Net cash from operating activities 10.00\nNet cash used in investing activities (2.00)\nNet cash from financing activities 3.00\nNet increase in cash 101.00\nOpening cash 100.00\nClosing cash 201.00"
+    # operating and adjustment, 15.00, is what stands beside no label of a field: without the adjustment it would complete the net change
+    right = "Net cash from operating activities\n10.00\nNet cash used in investing activities\n(2.00)\nNet cash from financing activities\n15.00\nEffect of exchange differences\n5.00\nNet increase in cash\n28.00"
+    got = {r.doc_id: r for r in statements.cash_flow(lines.page_lines(spark.createDataFrame([(1, wrong), (2, right)], "doc_id int, text string"))).collect()}
+    legs = lambda r: (r.operating_cash_flow.value, r.investing_cash_flow.value, r.financing_cash_flow.value)
+    assert legs(got[1]) == (10.0, -2.0, 3.0) and legs(got[2]) == (10.0, -2.0, 15.0) and [a.value for a in got[2].adjustments] == [5.0]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-small")
     (tmp_path / "b.PNG").write_bytes(b"p")
