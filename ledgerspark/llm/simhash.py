@@ -79,6 +79,12 @@ def near_links(nodes: DataFrame, distance: int = DISTANCE, blocks: int | None =
     return a.join(b, near).select("a", "b")
 
 
+def grouped(nodes: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
+    """(.., fp, root) of nodes(.., fp), distinct fingerprints: root is the same for all that links of at most distance bits reach."""
+    roots = components(near_links(nodes.select("fp"), distance, blocks), "simhash-links")
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs(doc_id, text).
 
@@ -90,8 +96,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int | Non
     """
     fps = materialize(fingerprints(docs), "simhash")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    roots = components(near_links(nodes.select("fp"), distance, blocks), "simhash-links")
-    joined = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    joined = grouped(nodes, distance, blocks)
     named = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     member = joined.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")

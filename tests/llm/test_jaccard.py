@@ -4,7 +4,8 @@ from itertools import combinations
 from random import Random
 
 import corpus_pipeline
-from ledgerspark.llm import jaccard
+from ledgerspark.llm import jaccard, simhash
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -69,3 +70,19 @@ def test_rows_without_id(spark):
     got = jaccard.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "lost words"), (7, f"{text} tail")]
     assert jaccard.first_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_simhash_groups_are_compared(spark):
+    """Without any band, near copies that op2's fingerprints link are found; each link is verified on the whole sets."""
+    random = Random(8)
+    texts = [" ".join(f"w{random.randrange(5000)}" for _ in range(400)) for _ in range(30)]
+    texts += [f"{t} tail" for t in texts] + ["w1 w2 w3", "w1 w2 w3 w1 w2 w3"]
+    source = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
+    rows = jaccard._sets(source).cache()
+    text_of = {r.node: texts[r.doc_id] for r in rows.collect()}
+    bare = jaccard._nodes(rows).withColumn("keys", F.array().cast("array<long>"))
+    got = {frozenset(text_of[n] for n in r) for r in jaccard._links(source, bare, 0.8).collect()}
+    bits = lambda a, b: (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count()
+    near = {frozenset((t, f"{t} tail")) for t in texts[:30] if bits(t, f"{t} tail") <= 3}
+    assert near and near <= got
+    assert all(5 * len(a & b) >= 4 * len(a | b) for a, b in (map(grams, pair) for pair in got))
