@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerspark.llm import decontam, fertility, jaccard, mixing, token_orc
-from ledgerspark.llm.common import materialize, table
+from ledgerspark.llm.common import materialize, small_batches, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the fertility bands keep; null, empty and wordless texts go, repeated rows
-    are judged alike. An empty table stays empty in every stage, and columns may have any further names."""
+    are judged alike. An empty table stays empty in every stage, and columns may have any further names.
+
+    Arrow batches stay small from here on: what one stage takes of an executor's memory is still held in the next ones."""
+    small_batches(spark)
     return fertility.rate(docs, only_kept=True)
 
 

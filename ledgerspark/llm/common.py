@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -48,6 +49,22 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+#: Bytes of one Arrow batch on its way to a Python worker or back.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch of rows be larger than BATCH_BYTES, except for one long row; a smaller bound of the session stays.
+
+    Spark's own bound of 64 MB counts several times for each task: as vectors that double when they grow, as a message, and in
+    the worker. It holds for what the session plans from then on.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not re.fullmatch(r"\d+b?", now) or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 _resident: dict = {}
 
 
@@ -61,7 +78,7 @@ def resident(key: tuple, make: Callable[[], object]):
 
 
 def release() -> None:
-    """Let go of another operator's heavy object, in a task that needs none of its own."""
+    """Let go of a heavy object that is there, in a task that needs none of its own."""
     resident(("none",), object)
 
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, resident, shared_path
+from .common import Recent, release, resident, shared_path, small_batches
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
@@ -141,6 +141,7 @@ def write_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
     of records per file.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     order = ["doc_id", "_h"]
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("_h"))
     rows = (rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
@@ -187,11 +188,15 @@ def lookup(spark: SparkSession, path: str, doc_ids: list, schema: str = "doc_id
 
 
 def crc_of_ids(batches):
-    """mapInArrow: unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers."""
+    """mapInArrow: unsigned crc32 of each row's ids as little-endian unsigned 32-bit integers.
+
+    The encoder goes first: a worker that has just written ids would hold its word memory beside the ids it reads.
+    """
+    release()
     for b in batches:
         ids = b.column("ids")
-        at, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
-        crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+        at, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<i4", copy=False)
+        crc = [zlib.crc32(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
