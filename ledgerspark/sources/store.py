@@ -63,5 +63,10 @@ def write_csv(field_table: DataFrame, path: str) -> None:
 
 
 def write_csv_per_document(csv: DataFrame, path: str) -> None:
-    """One CSV file a document of csv(doc_id, csv), in a folder named by its id (matching.csv_texts())."""
-    csv.select("doc_id", "csv").write.mode("errorifexists").partitionBy("doc_id").text(path)
+    """One CSV file a document of csv(doc_id, csv), in a folder named by its id (matching.csv_texts()).
+
+    A file costs far more than its bytes, so rows are dealt out by document to as many tasks as a shuffle has: small tables lie
+    in one partition, whose task would make all files, and a number that is named is not coalesced by size.
+    """
+    tasks = int(csv.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    csv.select("doc_id", "csv").repartition(tasks, "doc_id").write.mode("errorifexists").partitionBy("doc_id").text(path)
